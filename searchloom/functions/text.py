@@ -118,9 +118,12 @@ def stem_word(w: str) -> str:
     return w
 
 
-@F.pandas_udf("array<string>")
-def _stem(s: pd.Series) -> pd.Series:
-    return s.map(lambda ts: [stem_word(t) for t in ts], na_action="ignore")
+def _stem(tokens: Column) -> Column:
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda ts: [stem_word(t) for t in ts], na_action="ignore")
+
+    run.__annotations__ = {"s": pd.Series, "return": pd.Series}
+    return F.pandas_udf(run, "array<string>")(tokens)
 
 
 #: Analyzers by name.
@@ -207,6 +210,14 @@ def positions(tokens: Column, term: str) -> Column:
     return F.filter(F.transform(tokens, lambda t, i: F.when(t == term, i)), lambda i: i.isNotNull())
 
 
+def _next_place(places: Column) -> Callable[[Column], Column]:
+    def step(e: Column) -> Column:
+        at = F.array_min(F.filter(places, lambda p: p > e["at"]))
+        return F.struct(at.cast("int").alias("at"), (e["gap"] + at - e["at"] - 1).cast("int").alias("gap"))
+
+    return step
+
+
 def sloppy_phrase(tokens: Column, terms: list[str], slop: int) -> Column:
     """Whether the terms occur in this order with at most ``slop`` other tokens between them in all.
 
@@ -214,9 +225,7 @@ def sloppy_phrase(tokens: Column, terms: list[str], slop: int) -> Column:
     """
     ends = F.transform(positions(tokens, terms[0]), lambda p: F.struct(p.cast("int").alias("at"), F.lit(0).alias("gap")))
     for term in terms[1:]:
-        ps = positions(tokens, term)
-        step = lambda e, ps=ps: F.struct(F.array_min(F.filter(ps, lambda p: p > e["at"])).cast("int").alias("at"), (e["gap"] + F.array_min(F.filter(ps, lambda p: p > e["at"])) - e["at"] - 1).cast("int").alias("gap"))
-        ends = F.filter(F.transform(ends, step), lambda e: e["at"].isNotNull() & (e["gap"] <= slop))
+        ends = F.filter(F.transform(ends, _next_place(positions(tokens, term))), lambda e: e["at"].isNotNull() & (e["gap"] <= slop))
     return F.size(ends) > 0
 
 

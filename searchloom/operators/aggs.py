@@ -622,7 +622,7 @@ def variable_width(level: Level, name: str, p: dict) -> DataFrame:
     """Clusters of neighbouring values. Values are first counted, coarsened to at most 5000 cells, and only those counts are merged in one task per parent."""
     import pandas as pd
 
-    want = int(p.get("buckets", 10))
+    want, keys = int(p.get("buckets", 10)), list(level.keys)
     v = _number(level, p)
     rows = level.df.select(*level.keys, v.alias("__v")).where("__v is not null")
     ends = rows.groupBy(*level.keys).agg(F.min("__v").alias("__lo"), F.max("__v").alias("__hi"), F.count_distinct("__v").alias("__d"))
@@ -649,8 +649,8 @@ def variable_width(level: Level, name: str, p: dict) -> DataFrame:
             ver[i] += 1
             nxt[i] = nxt[j]
             if nxt[i] < m:
-                prv[nxt[i]] = i
                 k = nxt[i]
+                prv[k] = i
                 heapq.heappush(heap, (s[k] / n[k] - s[i] / n[i], i, ver[i], ver[k]))
             if prv[i] >= 0:
                 h = prv[i]
@@ -658,9 +658,9 @@ def variable_width(level: Level, name: str, p: dict) -> DataFrame:
             left -= 1
         keep = [i for i in range(m) if alive[i]]
         made = pd.DataFrame({"key": [s[i] / n[i] for i in keep], "min": [lo[i] for i in keep], "max": [hi[i] for i in keep], "doc_count": [n[i] for i in keep]})
-        for k in level.keys:
+        for k in keys:
             made[k] = pdf[k].iloc[0]
-        return made[[*level.keys, "key", "min", "max", "doc_count"]]
+        return made[[*keys, "key", "min", "max", "doc_count"]]
 
     schema = T.StructType([cells.schema[k] for k in level.keys] + [T.StructField(c, T.DoubleType()) for c in ("key", "min", "max")] + [T.StructField("doc_count", T.LongType())])
     grouped = cells.groupBy(*(level.keys or [F.lit(1)]))

@@ -31,7 +31,7 @@ from searchloom.scratch import materialize
 #: Readings of a chunk on average, readings on either side that a residual looks at, chunks a message comes from.
 CHUNK, SIDE, REACH = 4096, 7, 8
 #: A pause of more than so many usual distances cuts the series.
-PAUSE = 20.0
+PAUSE = 8.0
 #: Below absolute zero, and above what any contact thermometer reads.
 LOWEST, HIGHEST = -273.15, 2000.0
 #: The share of residuals within the scale, and the readings that a source needs for one.
@@ -65,7 +65,7 @@ def _median_beside(v: np.ndarray, segment: np.ndarray, side: int) -> tuple[np.nd
 
 
 def residuals(us: np.ndarray, v: np.ndarray, hard: np.ndarray, side: int = SIDE) -> tuple[np.ndarray, np.ndarray]:
-    """Residual of each reading, NaN if it has no readings on one side, and whether it repeats the one before.
+    """Residual of each reading, NaN if there are no readings on one side at all, and whether it repeats the one before.
 
     The residual is the smaller of the distances to the two medians, and 0 if the reading lies between them: a rise, a
     fall and a step to a new level have one side that agrees.
@@ -79,8 +79,12 @@ def residuals(us: np.ndarray, v: np.ndarray, hard: np.ndarray, side: int = SIDE)
     frozen = np.bincount(run)[run] > PLAIN_RUN if n else same
     clean = np.where(hard, np.nan, v)
     before, after = _median_beside(np.where(frozen, np.nan, clean), segment, side)
+    alone = np.isnan(before) | np.isnan(after)
+    if alone.any():  # beside a pause: compare across it, at half the weight
+        far_before, far_after = _median_beside(np.where(frozen, np.nan, clean), np.zeros(n, dtype=np.int64), side)
+        before, after = np.where(np.isnan(before), far_before, before), np.where(np.isnan(after), far_after, after)
     a, b = clean - before, clean - after
-    r = np.where(a * b <= 0, 0.0, np.minimum(np.abs(a), np.abs(b)))
+    r = np.where(a * b <= 0, 0.0, np.minimum(np.abs(a), np.abs(b))) * np.where(alone, 0.5, 1.0)
     r[np.isnan(a) | np.isnan(b)] = np.nan
     return r, same
 

@@ -696,7 +696,7 @@ class Compiler:
             test = {"containing": lambda x, y: (y["s"] >= x["s"]) & (y["e"] <= x["e"]), "contained_by": lambda x, y: (x["s"] >= y["s"]) & (x["e"] <= y["e"]), "before": lambda x, y: x["e"] <= y["s"], "after": lambda x, y: x["s"] >= y["e"], "overlapping": lambda x, y: (x["s"] < y["e"]) & (y["s"] < x["e"])}
             negate = how.startswith("not_")
             f = test[how.removeprefix("not_")]
-            s = F.filter(s, lambda x, f=f, o=o, negate=negate: ~F.exists(o, lambda y: f(x, y)) if negate else F.exists(o, lambda y: f(x, y)))
+            s = F.filter(s, _beside(o, f, negate))
         return s
 
     def q_intervals(self, b):
@@ -723,15 +723,31 @@ class Compiler:
         return self.q_knn({"field": b["field"], "query_vector": self.ctx.embed(b["query"])})
 
 
+def _beside(other: Column, test, negate: bool):
+    def keep(x: Column) -> Column:
+        hit = F.exists(other, lambda y: test(x, y))
+        return ~hit if negate else hit
+
+    return keep
+
+
+def _grow(spans: Column, ordered: bool):
+    """From a run to the runs that one more span makes of it."""
+
+    def step(r: Column) -> Column:
+        def fits(x: Column) -> Column:
+            return x["s"] >= r["e"] if ordered else (x["s"] >= r["e"]) | (x["e"] <= r["s"])
+
+        return F.transform(F.filter(spans, fits), lambda x: F.struct(F.least(r["s"], x["s"]).alias("s"), F.greatest(r["e"], x["e"]).alias("e"), (r["used"] + x["e"] - x["s"]).alias("used")))
+
+    return step
+
+
 def near(parts: list[Column], slop: int, ordered: bool) -> Column:
     """Spans made of one span of each part, not overlapping, with at most ``slop`` positions between them in all."""
     runs = F.transform(parts[0], lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), (x["e"] - x["s"]).alias("used")))
     for p in parts[1:]:
-        def grow(r, p=p):
-            fits = (lambda x: x["s"] >= r["e"]) if ordered else (lambda x: (x["s"] >= r["e"]) | (x["e"] <= r["s"]))
-            return F.transform(F.filter(p, fits), lambda x: F.struct(F.least(r["s"], x["s"]).alias("s"), F.greatest(r["e"], x["e"]).alias("e"), (r["used"] + x["e"] - x["s"]).alias("used")))
-
-        runs = F.filter(F.flatten(F.transform(runs, grow)), lambda r: r["e"] - r["s"] - r["used"] <= slop)
+        runs = F.filter(F.flatten(F.transform(runs, _grow(p, ordered))), lambda r: r["e"] - r["s"] - r["used"] <= slop)
     return F.transform(runs, lambda r: F.struct(r["s"].alias("s"), r["e"].alias("e")))
 
 
