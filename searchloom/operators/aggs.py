@@ -663,5 +663,5 @@ def variable_width(level: Level, name: str, p: dict) -> DataFrame:
         return made[[*keys, "key", "min", "max", "doc_count"]]
 
     schema = T.StructType([cells.schema[k] for k in level.keys] + [T.StructField(c, T.DoubleType()) for c in ("key", "min", "max")] + [T.StructField("doc_count", T.LongType())])
-    grouped = cells.groupBy(*(level.keys or [F.lit(1)]))
+    grouped = cells.groupBy(*(level.keys or [F.lit("all").alias("__all")]))
     return grouped.applyInPandas(merge, schema).withColumnRenamed("key", name)

@@ -55,8 +55,8 @@ def _monthly(pipe: dict, path: str = "months", **how):
     sibling = next(iter(pipe.values()))
     kind = next(iter(sibling))
     if kind.endswith("_bucket") and kind not in ("bucket_script",):
-        return _agg("orders", "o_orderkey", {"months": MONTHLY | {"aggs": {"total": {"sum": {"field": "o_totalprice"}}}}} | pipe, next(iter(pipe)), digits=2, **how)
-    return _agg("orders", "o_orderkey", {"months": MONTHLY | {"aggs": {"total": {"sum": {"field": "o_totalprice"}}} | pipe}}, path, digits=2, **how)
+        return _agg("orders", "o_orderkey", {"months": MONTHLY | {"aggs": {"total": {"sum": {"field": "o_totalprice"}}}}} | pipe, next(iter(pipe)), **{"digits": 2} | how)
+    return _agg("orders", "o_orderkey", {"months": MONTHLY | {"aggs": {"total": {"sum": {"field": "o_totalprice"}}} | pipe}}, path, **{"digits": 2} | how)
 
 
 FLAGS = {"a": {"term": {"l_returnflag": "R"}}, "b": {"range": {"l_quantity": {"gte": 25}}}, "c": {"term": {"l_linestatus": "O"}}}
@@ -120,7 +120,7 @@ QUERIES = {
     "w_min_bucket": _monthly({"x": {"min_bucket": {"buckets_path": "months>total"}}}),
     "w_max_bucket": _monthly({"x": {"max_bucket": {"buckets_path": "months>_count"}}}),
     "w_stats_bucket": _monthly({"x": {"stats_bucket": {"buckets_path": "months>total"}}}, strip="x_"),
-    "w_extended_stats_bucket": _monthly({"x": {"extended_stats_bucket": {"buckets_path": "months>_count"}}}, strip="x_"),
+    "w_extended_stats_bucket": _monthly({"x": {"extended_stats_bucket": {"buckets_path": "months>_count"}}}, strip="x_", digits=3),
     "w_percentiles_bucket": _monthly({"x": {"percentiles_bucket": {"buckets_path": "months>total", "percents": [25, 50, 90]}}}, strip="x_"),
     "w_derivative": _monthly({"x": {"derivative": {"buckets_path": "total"}}}),
     "w_cumulative_sum": _monthly({"x": {"cumulative_sum": {"buckets_path": "_count"}}}),
@@ -212,7 +212,7 @@ round(stddev_samp(l_quantity), 4) std_deviation_sampling, round(avg(l_quantity)
     "w_min_bucket": _SPINE + " select round(min(total), 2) x, list(strftime(months, '%Y-%m-%d %H:%M:%S')) x_keys from g where total = (select min(total) from g)",
     "w_max_bucket": _SPINE + " select max(doc_count)::double x, list(strftime(months, '%Y-%m-%d %H:%M:%S') order by months) x_keys from g where doc_count = (select max(doc_count) from g)",
     "w_stats_bucket": _SPINE + " select count(*) as count, round(min(total), 2) as min, round(max(total), 2) as max, round(avg(total), 2) as avg, round(sum(total), 2) as sum from g",
-    "w_extended_stats_bucket": _SPINE + " select count(*) as count, min(doc_count)::double as min, max(doc_count)::double as max, round(avg(doc_count), 2) as avg, sum(doc_count)::double as sum, sum(doc_count * doc_count)::double sum_of_squares, round(var_pop(doc_count), 2) as variance, round(var_samp(doc_count), 2) variance_sampling, round(stddev_pop(doc_count), 2) std_deviation, round(stddev_samp(doc_count), 2) std_deviation_sampling, round(avg(doc_count) + 2 * stddev_pop(doc_count), 2) as upper, round(avg(doc_count) - 2 * stddev_pop(doc_count), 2) as lower from g",
+    "w_extended_stats_bucket": _SPINE + " select count(*) as count, min(doc_count)::double as min, max(doc_count)::double as max, round(avg(doc_count), 3) as avg, sum(doc_count)::double as sum, sum(doc_count * doc_count)::double sum_of_squares, round(var_pop(doc_count), 3) as variance, round(var_samp(doc_count), 3) variance_sampling, round(stddev_pop(doc_count), 3) std_deviation, round(stddev_samp(doc_count), 3) std_deviation_sampling, round(avg(doc_count) + 2 * stddev_pop(doc_count), 3) as upper, round(avg(doc_count) - 2 * stddev_pop(doc_count), 3) as lower from g",
     "w_percentiles_bucket": _SPINE + ", r as (select total, row_number() over (order by total) - 1 i, count(*) over () n from g) select " + ", ".join(f"round(max(total) filter (where i = floor({p} / 100.0 * (n - 1) + 0.5)), 2) as \"{p}\"" for p in (25, 50, 90)) + " from r",
     "w_derivative": _SPINE + " select months, doc_count, round(total, 2) total, round(total - lag(total) over (order by months), 2) x from g",
     "w_cumulative_sum": _SPINE + " select months, doc_count, round(total, 2) total, sum(doc_count) over (order by months)::double x from g",
