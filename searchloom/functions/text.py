@@ -191,18 +191,25 @@ def python_tokens(text: str) -> list[str]:
     return re.findall(r"\w+", text.lower())
 
 
+def let(c: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of ``c``, with ``c`` computed once: inside ``f`` it is a bound variable, also in the lambdas of ``f``."""
+    return F.get(F.transform(F.array(c), lambda x: f(x)), F.lit(0))
+
+
 def tf(tokens: Column, term: str) -> Column:
     return F.size(F.filter(tokens, lambda t: t == term))
 
 
-def phrase(tokens: Column, terms: list[str]) -> Column:
-    """Whether the terms stand next to each other in this order."""
-    n = len(terms)
-    if n == 1:
-        return F.array_contains(tokens, terms[0])
-    want = F.array(*map(F.lit, terms))
-    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(tokens) - n + 1))
-    return F.exists(starts, lambda i: F.slice(tokens, i, n) == want)
+_JOINT = "\x1f"
+
+
+def _joined(tokens: Column) -> Column:
+    return F.concat(F.lit(_JOINT), F.array_join(tokens, _JOINT), F.lit(_JOINT))
+
+
+def phrase(tokens: Column, terms: list[str], last_is_prefix: bool = False) -> Column:
+    """Whether the terms stand next to each other in this order; the last one may be the beginning of a token."""
+    return _joined(tokens).contains(_JOINT + _JOINT.join(terms) + ("" if last_is_prefix else _JOINT))
 
 
 def positions(tokens: Column, term: str) -> Column:
@@ -218,6 +225,10 @@ def _next_place(places: Column) -> Callable[[Column], Column]:
     return step
 
 
+def _narrow(ends: Column, slop: int) -> Callable[[Column], Column]:
+    return lambda places: F.filter(F.transform(ends, _next_place(places)), lambda e: e["at"].isNotNull() & (e["gap"] <= slop))
+
+
 def sloppy_phrase(tokens: Column, terms: list[str], slop: int) -> Column:
     """Whether the terms occur in this order with at most ``slop`` other tokens between them in all.
 
@@ -225,7 +236,7 @@ def sloppy_phrase(tokens: Column, terms: list[str], slop: int) -> Column:
     """
     ends = F.transform(positions(tokens, terms[0]), lambda p: F.struct(p.cast("int").alias("at"), F.lit(0).alias("gap")))
     for term in terms[1:]:
-        ends = F.filter(F.transform(ends, _next_place(positions(tokens, term))), lambda e: e["at"].isNotNull() & (e["gap"] <= slop))
+        ends = let(positions(tokens, term), _narrow(ends, slop))
     return F.size(ends) > 0
 
 

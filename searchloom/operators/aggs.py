@@ -56,6 +56,11 @@ def percent_name(p: float) -> str:
     return f"{float(p):g}".replace(".", "_")
 
 
+def _percentiles(v: Column, ps: list[float]) -> Column:
+    """All percentiles from one aggregation buffer. Exact, so the buffer holds the distinct values; ``approximate`` bounds it."""
+    return F.percentile(v, F.array(*[F.lit(float(q) / 100) for q in ps]))
+
+
 def metric_columns(level: Level, name: str, kind: str, p: dict) -> list[Column]:
     """The expressions of a metric that one aggregation can compute, named ``name`` or ``name_<part>``."""
     n = lambda part: f"{name}_{part}"
@@ -90,13 +95,13 @@ def metric_columns(level: Level, name: str, kind: str, p: dict) -> list[Column]:
             digits = int(p["hdr"].get("number_of_significant_value_digits", 3))
             unit = F.pow(F.lit(10.0), F.floor(F.log10(v)) - (digits - 1))
             v = F.when(v > 0, F.floor(v / unit) * unit).otherwise(v)
-        return [F.percentile(v, float(q) / 100).alias(n(percent_name(q))) for q in ps]
+        return [F.get(_percentiles(v, ps), i).alias(n(percent_name(q))) for i, q in enumerate(ps)]
     if kind == "percentile_ranks":
         v = _number(level, p)
         return [F.avg(F.when(v.isNotNull(), F.when(v <= float(t), 100.0).otherwise(0.0))).alias(n(percent_name(t))) for t in sorted(p["values"])]
     if kind == "boxplot":
         v = _number(level, p)
-        q1, q2, q3 = (F.percentile(v, q) for q in (0.25, 0.5, 0.75))
+        q1, q2, q3 = (F.get(_percentiles(v, [25, 50, 75]), i) for i in range(3))
         return [F.min(v).alias(n("min")), F.max(v).alias(n("max")), q1.alias(n("q1")), q2.alias(n("q2")), q3.alias(n("q3"))]
     if kind == "matrix_stats":
         fs = p["fields"]

@@ -57,6 +57,7 @@ class Context:
     named: list[tuple[str, Column]] = field(default_factory=list)
     depth: int = 0
     embed: Callable[[str], list[float]] | None = None
+    bound: dict[str, Column] = field(default_factory=dict)
 
     def resolve(self, name: str) -> tuple[Column, T.DataType]:
         """The column of a dotted field name; a ``.keyword`` or ``.raw`` of a string is the string itself."""
@@ -86,7 +87,23 @@ class Context:
             kind = kind[p].dataType
         return kind
 
+    def with_tokens(self, name: str, f: Callable[[Column], Column]) -> Column:
+        """``f`` of a field's tokens, which are computed once for all uses within ``f``."""
+        if name in self.bound:
+            return f(self.bound[name])
+
+        def run(w: Column) -> Column:
+            self.bound[name] = w
+            try:
+                return f(w)
+            finally:
+                del self.bound[name]
+
+        return text.let(self.tokens(name), run)
+
     def tokens(self, name: str) -> Column:
+        if name in self.bound:
+            return self.bound[name]
         col, kind = self.resolve(name)
         if isinstance(kind, T.ArrayType):
             col = F.concat_ws(" ", col)
@@ -514,13 +531,16 @@ class Compiler:
         st = self.ctx.stats
         if not st:
             return F.lit(0.0)
-        tok = self.ctx.tokens(name)
-        length = K1 * (1 - B + B * F.size(tok) / st["avgdl"][name])
-        parts = []
-        for t in terms:
-            f = text.tf(tok, t).cast("double")
-            parts.append(F.lit(text.bm25_idf(st["n"], st["df"][(name, t)])) * f * (K1 + 1) / (f + length))
-        return total(parts) * boost
+
+        def score(tok: Column) -> Column:
+            length = K1 * (1 - B + B * F.size(tok) / st["avgdl"][name])
+            parts = []
+            for t in terms:
+                f = text.tf(tok, t).cast("double")
+                parts.append(F.lit(text.bm25_idf(st["n"], st["df"][(name, t)])) * f * (K1 + 1) / (f + length))
+            return total(parts) * boost
+
+        return self.ctx.with_tokens(name, score) if terms else F.lit(0.0)
 
     def q_match(self, b):
         name, p = _one(b, "query")
@@ -528,17 +548,19 @@ class Compiler:
         boost = float(p["boost"])
         if not terms:
             return self.const(F.lit(p.get("zero_terms_query") == "all"))
-        tok = self.ctx.tokens(name)
-        if p.get("fuzziness") is not None:
-            hit = [text.fuzzy_any(tok, t, text.fuzzy_edits(p["fuzziness"], t)) for t in terms]
-        else:
-            hit = [F.array_contains(tok, t) for t in terms]
         distinct = list(dict.fromkeys(terms))
-        if str(p.get("operator", "or")).lower() == "and":
-            m = all_of(hit)
-        else:
+
+        def enough(hit: list[Column]) -> Column:
+            if str(p.get("operator", "or")).lower() == "and":
+                return all_of(hit)
             need = should_match(p.get("minimum_should_match"), len(terms))
-            m = any_of(hit) if need <= 1 else total([h.cast("int") for h in hit]) >= need
+            return any_of(hit) if need <= 1 else total([h.cast("int") for h in hit]) >= need
+
+        if p.get("fuzziness") is not None:  # through Arrow, which can't happen inside a bound expression
+            tok = self.ctx.tokens(name)
+            m = enough([text.fuzzy_any(tok, t, text.fuzzy_edits(p["fuzziness"], t)) for t in terms])
+        else:
+            m = self.ctx.with_tokens(name, lambda tok: enough([F.array_contains(tok, t) for t in terms]))
         return Clause(m, self._bm25(name, distinct, boost), [(name, t) for t in distinct])
 
     def q_match_phrase(self, b):
@@ -546,8 +568,8 @@ class Compiler:
         terms = self._terms(name, p["query"])
         if not terms:
             return self.const(F.lit(False))
-        tok, slop = self.ctx.tokens(name), int(p.get("slop", 0))
-        m = text.phrase(tok, terms) if not slop else text.sloppy_phrase(tok, terms, slop)
+        slop = int(p.get("slop", 0))
+        m = self.ctx.with_tokens(name, lambda tok: text.phrase(tok, terms) if not slop else text.sloppy_phrase(tok, terms, slop))
         return Clause(m, self._bm25(name, list(dict.fromkeys(terms)), float(p["boost"])), [(name, t) for t in terms])
 
     def q_match_phrase_prefix(self, b):
@@ -555,15 +577,8 @@ class Compiler:
         terms = self._terms(name, p["query"])
         if not terms:
             return self.const(F.lit(False))
-        tok, (*head, last) = self.ctx.tokens(name), terms
-        n = len(terms)
-        starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(tok) - n + 1))
-        end = lambda i: F.coalesce(F.get(tok, i + n - 2), F.lit("")).startswith(last)
-        if head:
-            want = F.array(*map(F.lit, head))
-            m = F.exists(starts, lambda i: (F.slice(tok, i, n - 1) == want) & end(i))
-        else:
-            m = F.exists(tok, lambda t: t.startswith(last))
+        head = terms[:-1]
+        m = text.phrase(self.ctx.tokens(name), terms, last_is_prefix=True)
         return Clause(m, self._bm25(name, list(dict.fromkeys(head)), float(p["boost"])) + F.when(sure(m), F.lit(float(p["boost"]))).otherwise(0.0), [(name, t) for t in head])
 
     def q_match_bool_prefix(self, b):
@@ -572,14 +587,17 @@ class Compiler:
         if not terms:
             return self.const(F.lit(False))
         *head, last = terms
-        tok = self.ctx.tokens(name)
-        hits = [F.array_contains(tok, t) for t in head] + [F.exists(tok, lambda t: t.startswith(last))]
-        if str(p.get("operator", "or")).lower() == "and":
-            m = all_of(hits)
-        else:
+
+        def enough(tok: Column) -> Column:
+            hits = [F.array_contains(tok, t) for t in head] + [F.exists(tok, lambda t: t.startswith(last))]
+            if str(p.get("operator", "or")).lower() == "and":
+                return all_of(hits)
             need = should_match(p.get("minimum_should_match"), len(hits))
-            m = any_of(hits) if need <= 1 else total([h.cast("int") for h in hits]) >= need
-        score = self._bm25(name, list(dict.fromkeys(head)), float(p["boost"])) + F.when(hits[-1], F.lit(float(p["boost"]))).otherwise(0.0)
+            return any_of(hits) if need <= 1 else total([h.cast("int") for h in hits]) >= need
+
+        m = self.ctx.with_tokens(name, enough)
+        begun = F.exists(self.ctx.tokens(name), lambda t: t.startswith(last))
+        score = self._bm25(name, list(dict.fromkeys(head)), float(p["boost"])) + F.when(begun, F.lit(float(p["boost"]))).otherwise(0.0)
         return Clause(m, score, [(name, t) for t in head])
 
     def q_multi_match(self, b):
@@ -589,8 +607,8 @@ class Compiler:
         extra = {k: b[k] for k in ("operator", "minimum_should_match", "slop", "fuzziness") if k in b}
         if kind == "cross_fields":
             terms = text.python_tokens(b["query"])
-            rows = [[F.array_contains(self.ctx.tokens(f), t) for f, _ in fields] for t in terms]
-            per = [any_of(r) for r in rows]
+            found = [self.ctx.with_tokens(f, lambda w: F.array(*[F.array_contains(w, t) for t in terms])) for f, _ in fields]
+            per = [any_of([x[i] for x in found]) for i in range(len(terms))]
             m = all_of(per) if str(b.get("operator", "or")).lower() == "and" else any_of(per)
             scores = [self._bm25(f, list(dict.fromkeys(terms)), w) for f, w in fields]
             return Clause(m, F.greatest(*scores) if len(scores) > 1 else scores[0], [(f, t) for f, _ in fields for t in terms])
@@ -662,8 +680,8 @@ class Compiler:
 
     def _span(self, kind):
         def run(b):
-            name, s = self._spans({kind: b})
-            return self.const(F.size(s) > 0, b.get("boost", 1.0) if isinstance(b, dict) else 1.0)
+            found = self.ctx.with_tokens(_span_field({kind: b}), lambda _: F.size(self._spans({kind: b})[1]))
+            return self.const(found > 0, b.get("boost", 1.0) if isinstance(b, dict) else 1.0)
 
         return run
 
@@ -701,7 +719,8 @@ class Compiler:
 
     def q_intervals(self, b):
         name, p = _one(b, "match")
-        return self.const(F.size(self._interval(name, {k: v for k, v in p.items() if k != "boost"})) > 0, p["boost"])
+        found = self.ctx.with_tokens(name, lambda _: F.size(self._interval(name, {k: v for k, v in p.items() if k != "boost"})))
+        return self.const(found > 0, p["boost"])
 
     # vectors
     def q_knn(self, b):
@@ -743,11 +762,25 @@ def _grow(spans: Column, ordered: bool):
     return step
 
 
+def _grown(runs: Column, slop: int, ordered: bool):
+    return lambda spans: F.filter(F.flatten(F.transform(runs, _grow(spans, ordered))), lambda r: r["e"] - r["s"] - r["used"] <= slop)
+
+
+def _span_field(q: dict) -> str:
+    """The field of a span query: that of its first term."""
+    (kind, b), = q.items()
+    if kind == "span_term":
+        return _one(b, "value")[0]
+    if kind == "span_multi":
+        return _one(next(iter(b["match"].values())), "value")[0]
+    return _span_field(b["clauses"][0] if "clauses" in b else b.get("match") or b.get("include") or b["little"])
+
+
 def near(parts: list[Column], slop: int, ordered: bool) -> Column:
     """Spans made of one span of each part, not overlapping, with at most ``slop`` positions between them in all."""
     runs = F.transform(parts[0], lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), (x["e"] - x["s"]).alias("used")))
     for p in parts[1:]:
-        runs = F.filter(F.flatten(F.transform(runs, _grow(p, ordered))), lambda r: r["e"] - r["s"] - r["used"] <= slop)
+        runs = text.let(p, _grown(runs, slop, ordered))
     return F.transform(runs, lambda r: F.struct(r["s"].alias("s"), r["e"].alias("e")))
 
 

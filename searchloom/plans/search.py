@@ -254,8 +254,8 @@ def explain_score(df: DataFrame, field_name: str, query: str, id: str = "_id") -
     terms = list(dict.fromkeys(text.python_tokens(query)))
     ctx.wanted = {(field_name, t) for t in terms}
     st = collect_stats(df, ctx)
-    tok = ctx.tokens(field_name)
-    rows = df.select(id, F.size(tok).alias("dl"), F.explode(F.array(*[F.struct(F.lit(t).alias("term"), F.lit(text.bm25_idf(st["n"], st["df"][(field_name, t)])).alias("idf"), text.tf(tok, t).alias("tf")) for t in terms])).alias("p"))
+    tok = F.col("__w")
+    rows = df.select(id, ctx.tokens(field_name).alias("__w")).select(id, F.size(tok).alias("dl"), F.explode(F.array(*[F.struct(F.lit(t).alias("term"), F.lit(text.bm25_idf(st["n"], st["df"][(field_name, t)])).alias("idf"), text.tf(tok, t).alias("tf")) for t in terms])).alias("p"))
     rows = rows.select(id, "p.term", "p.idf", "p.tf", "dl").where("tf > 0")
     s = F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("dl") / st["avgdl"][field_name]))
     return rows.withColumn("score", F.col("idf") * s)
