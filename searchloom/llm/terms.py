@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: A term: a maximal run of letters or digits of any script.
 TERM = r"[\p{L}\p{N}]+"
+#: The columns of the counts on disk; a version that holds no row has no file to tell them.
+COUNTS = "term string, occurrences bigint, records bigint, bucket int"
 #: The row of the counts that holds the number of records. No term is empty.
 ALL_RECORDS = ""
 
@@ -109,7 +111,7 @@ class TermCounts:
                 by.setdefault(v, []).append(int(b))
         out = None
         for v, bs in sorted(by.items()):
-            part = self.spark.read.parquet(f"{self.path}/counts/v{v:09d}").where(F.col("bucket").isin(bs))
+            part = self.spark.read.schema(COUNTS).parquet(f"{self.path}/counts/v{v:09d}").where(F.col("bucket").isin(bs))
             part = part.select("term", "occurrences", "records", "bucket")
             out = part if out is None else out.unionByName(part)
         return out
@@ -127,17 +129,17 @@ class TermCounts:
             return version
         staged = f"{self.path}/delta/v{version:09d}"
         self._write(delta, staged)
-        staged_df = self.spark.read.parquet(staged)
+        staged_df = self.spark.read.schema(COUNTS).parquet(staged)
         touched = {r[0] for r in staged_df.select("bucket").distinct().collect()}  # at most self.buckets values
         if not touched:
             return m["version"]
         merged = self._read(m, touched).unionByName(staged_df.select("term", "occurrences", "records", "bucket"))
         merged = merged.groupBy("bucket", "term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
-        self._write(merged.where("occurrences != 0 or records != 0"), target, m, touched)
+        self._write(merged.where("occurrences != 0 or records != 0"), target)
         self._commit({"version": version, "buckets": m["buckets"] | {str(b): version for b in touched}})
         return version
 
-    def _write(self, df: DataFrame, path: str, m: dict | None = None, touched: set[int] | None = None) -> None:
+    def _write(self, df: DataFrame, path: str) -> None:
         df.select("term", "occurrences", "records", "bucket").repartition(self.buckets, "bucket").write.partitionBy("bucket").parquet(path)
 
     def _counts(self) -> DataFrame:
