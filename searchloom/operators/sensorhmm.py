@@ -17,6 +17,7 @@ the bounds alone until its scale is known (``MIN_READINGS``); an empty table giv
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -54,13 +55,10 @@ def _median_beside(v: np.ndarray, segment: np.ndarray, side: int) -> tuple[np.nd
     seg = np.concatenate([np.full(side, -1), segment, np.full(side, -2)])
     windows = np.lib.stride_tricks.sliding_window_view(padded, side)
     segs = np.lib.stride_tricks.sliding_window_view(seg, side)
-    with np.errstate(all="ignore"):
-        import warnings
-
-        with warnings.catch_warnings():
-            warnings.simplefilter("ignore", RuntimeWarning)
-            before = np.nanmedian(np.where(segs[:n] == segment[:, None], windows[:n], np.nan), axis=1)
-            after = np.nanmedian(np.where(segs[side + 1 : side + 1 + n] == segment[:, None], windows[side + 1 : side + 1 + n], np.nan), axis=1)
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore", RuntimeWarning)  # windows of nothing but NaN
+        before = np.nanmedian(np.where(segs[:n] == segment[:, None], windows[:n], np.nan), axis=1)
+        after = np.nanmedian(np.where(segs[side + 1 : side + 1 + n] == segment[:, None], windows[side + 1 : side + 1 + n], np.nan), axis=1)
     return before, after
 
 
@@ -192,16 +190,12 @@ def _histogram(r: np.ndarray) -> dict[int, int]:
     return dict(zip(kinds.tolist(), counts.tolist()))
 
 
-def _bin_top(b: int) -> float:
-    return 2.0 ** ((b + 1) / FINE + SMALLEST)
-
-
 def implausible(readings: DataFrame, source: str = "geraet", time: str = "zeitpunkt", value: str = "temperatur_c", lowest: float = LOWEST, highest: float = HIGHEST) -> DataFrame:
     """``__s``, ``__us``, ``__v`` and ``state`` of the distinct readings whose likeliest state is not normal."""
     v = F.col(f"`{value}`").cast("double") + F.lit(0.0)
     used = readings.select(F.col(f"`{source}`").alias("__s"), epoch_micros(readings, time).alias("__us"), v.alias("__v"))
     used = used.where("__s is not null and __us is not null and __v is not null and not isnan(__v)")
-    span = used.groupBy("__s").agg(F.min("__us").alias("__a"), F.greatest(F.lit(1), floor_div((F.max("__us") - F.min("__us") + 1) * 1, F.greatest(F.lit(1), floor_div(F.count("*"), F.lit(CHUNK))))).cast("bigint").alias("__len"))
+    span = used.groupBy("__s").agg(F.min("__us").alias("__a"), F.greatest(F.lit(1), floor_div(F.max("__us") - F.min("__us") + 1, F.greatest(F.lit(1), floor_div(F.count("*"), F.lit(CHUNK))))).cast("bigint").alias("__len"))
     cut = lookup_join(used, span, ["__s"]).withColumn("__chunk", floor_div(F.col("__us") - F.col("__a"), F.col("__len")))
     packed = cut.groupBy("__s", "__chunk").agg(F.array_sort(F.collect_set(F.struct("__us", "__v"))).alias("__p"))
     packed = materialize(packed.select("__s", "__chunk", F.col("__p.__us").alias("us"), F.col("__p.__v").alias("v")), "hmm-chunks")

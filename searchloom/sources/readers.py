@@ -218,7 +218,9 @@ def parse_inserts(text: str):
     """(table, {column: value}) of each row of INSERT statements."""
     columns: dict[str, list[str]] = {}
     for m in re.finditer(r"(?is)create\s+table\s+(?:if\s+not\s+exists\s+)?[`\"]?([\w.]+)[`\"]?\s*\((.*?)\)\s*[^,()]*;", text):
-        columns[m[1]] = [n for n in re.findall(r"(?m)^\s*[`\"]?(\w+)[`\"]?\s+\w", m[2]) if n.upper() not in ("PRIMARY", "KEY", "UNIQUE", "CONSTRAINT", "FOREIGN", "CHECK")]
+        parts = re.split(r",(?![^()]*\))", m[2])
+        names = [re.match(r"\s*[`\"]?(\w+)[`\"]?", p) for p in parts]
+        columns[m[1]] = [n[1] for n in names if n and n[1].upper() not in ("PRIMARY", "KEY", "UNIQUE", "CONSTRAINT", "FOREIGN", "CHECK")]
     for m in re.finditer(r"(?is)insert\s+into\s+[`\"]?([\w.]+)[`\"]?\s*(?:\(([^)]*)\))?\s*values\s*", text):
         names = [c.strip(' `"') for c in m[2].split(",")] if m[2] else columns.get(m[1])
         at = m.end()
@@ -250,7 +252,7 @@ def _tuple(text: str, at: int):
 
 def read_sql_dump(spark: SparkSession, path: str) -> DataFrame:
     """Rows of the INSERT statements: table and a map of values as text."""
-    return _per_file(spark, path, lambda p, c: [(t, list(r.items())) for t, r in parse_inserts(c.decode("utf-8", "replace"))], "table string, row map<string,string>")
+    return _per_file(spark, path, lambda p, c: [(t, r) for t, r in parse_inserts(c.decode("utf-8", "replace"))], "table string, row map<string,string>")
 
 
 def read_sqlite(spark: SparkSession, path: str) -> DataFrame:
@@ -265,7 +267,7 @@ def read_sqlite(spark: SparkSession, path: str) -> DataFrame:
                 cur = db.execute(f'select * from "{t}"')
                 names = [d[0] for d in cur.description]
                 for r in cur:
-                    yield t, [(n, None if v is None else v if isinstance(v, str) else str(v)) for n, v in zip(names, r)]
+                    yield t, {n: None if v is None else str(v) for n, v in zip(names, r)}
 
     return _per_file(spark, path, rows, "table string, row map<string,string>")
 
@@ -318,7 +320,7 @@ def parse_yaml(text: str) -> list[dict]:
 
 
 def read_yaml(spark: SparkSession, path: str) -> DataFrame:
-    return _per_file(spark, path, lambda p, c: [(p, i, list(d.items())) for i, d in enumerate(parse_yaml(c.decode("utf-8", "replace")))], "path string, document int, fields map<string,string>")
+    return _per_file(spark, path, lambda p, c: [(p, i, d) for i, d in enumerate(parse_yaml(c.decode("utf-8", "replace")))], "path string, document int, fields map<string,string>")
 
 
 #: How definitions begin in languages other than Python.
