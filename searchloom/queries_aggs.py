@@ -219,6 +219,7 @@ round(stddev_samp(l_quantity), 4) std_deviation_sampling, round(avg(l_quantity)
     "w_serial_diff": _SPINE + " select months, doc_count, round(total, 2) total, (doc_count - lag(doc_count, 12) over (order by months))::double x from g",
     "w_moving_avg": _SPINE + " select months, doc_count, round(total, 2) total, round(avg(doc_count) over (order by months rows between 4 preceding and 1 preceding), 2) x from g",
     "w_moving_fn_min": _SPINE + " select months, doc_count, round(total, 2) total, (min(doc_count) over (order by months rows between 3 preceding and 1 preceding))::double x from g",
+    "w_moving_fn_ewma": _SPINE + " select months, doc_count, round(total, 2) total, round(list_reduce(list(doc_count::double) over (order by months rows between 5 preceding and 1 preceding), lambda s, x: x * 0.4 + s * 0.6), 2) x from g",
     "w_bucket_script": _SPINE + " select months, doc_count, round(total, 2) total, round(total / doc_count, 2) x from g",
     "w_bucket_selector": _SPINE + " select months, doc_count, round(total, 2) total from g where doc_count > 185",
     "w_bucket_sort": _SPINE + " select months, doc_count, round(total, 2) total from g order by g.total desc, months limit 6 offset 2",

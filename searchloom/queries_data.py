@@ -232,6 +232,11 @@ select edge_id, min(hop) hop from (select edge_id, 1 hop from e union all select
     "g_overview": "with e as (select distinct on (edge_id) * from graph_edges), n as (select edge_type, count(distinct node) nodes from (select edge_type, src node from e union all select edge_type, dst from e) group by 1) select edge_type, count(*) edges, count(*) filter (where invalid_at is null) alive, any_value(nodes) nodes from e join n using (edge_type) group by 1",
     "g_degrees": "with e as (select distinct on (edge_id) * from graph_edges) select node, sum(o)::bigint out_degree, sum(i)::bigint in_degree from (select src node, 1 o, 0 i from e union all select dst, 0, 1 from e) group by 1",
     "g_proximity": f"with {_SEEDS}, {_LIVE}, e as (select * from l where src in (select node from s) or dst in (select node from s)), p as (select src node, 0.5 * greatest(0, least(1, coalesce(weight, 0))) p from e union all select dst, 0.5 * greatest(0, least(1, coalesce(weight, 0))) from e union all select node, 1 from s) select node, round(max(p), 6)::double proximity from p group by 1",
+    "g_shared_term": f"""with t as (select doc_id d, unnest(list_distinct({tok('text')})) t from documents), n as (select count(*) n from documents),
+f as (select t, count(*) df from t where len(t) > 2 group by t having df >= 2 and df <= least(64, 0.1 * (select n from n))),
+r as (select d, t from t join f using (t) qualify row_number() over (partition by d order by df, t) <= 24),
+p as (select a.d src, b.d dst, count(*) shared from r a join r b on a.t = b.t and a.d < b.d group by 1, 2 having shared >= 2)
+select src, dst, shared from p qualify row_number() over (partition by src order by shared desc, dst) <= 5""",
     "g_links": "select id src, unnest(['kb:' || id, 'a/' || source, 'src/main.rs']) dst, unnest(['wikilink', 'mdlink', 'pathcite']) edge_type from ai_kb where source is not null",
     "g_recall_recency": f"with {_KB.replace('from ai_kb', 'from ai_kb where indexed_at is not null', 1)}, m as (select min(score) a, max(score) b, min(epoch_us(indexed_at)) c, max(epoch_us(indexed_at)) d from h) select id, round(0.7 * (score - a) / (b - a) + 0.3 * (epoch_us(indexed_at) - c) / (d - c), 6) blended from h, m",
     "g_recall_blend": f"with {_KB}, s as (select 'kb:' || id node from h order by score desc, id limit 5), {_LIVE}, e as (select * from l where src in (select node from s) or dst in (select node from s)), p as (select src node, 0.5 * greatest(0, least(1, coalesce(weight, 0))) p from e union all select dst, 0.5 * greatest(0, least(1, coalesce(weight, 0))) from e union all select node, 1 from s), x as (select node, max(p) p from p group by 1) select id, round(0.7 * score + 0.3 * coalesce(p, 0), 6) blended from h left join x on node = 'kb:' || id",

@@ -63,15 +63,15 @@ def tok(c: str) -> str:
     return _TOK.format(c=c)
 
 
-def bm25(source: str, key: str, column: str, terms: list[str]) -> str:
-    """Common table expressions: w(key, words, dl), st(n, avgdl), and b(key, score) summed over the terms."""
+def bm25(source: str, key: str, column: str, terms: list[str], tag: str = "") -> str:
+    """Common table expressions: w(key, words), st(n, avgdl), q(term), and b(key, score) summed over the terms; their names end in ``tag``."""
     values = ", ".join(f"('{t}')" for t in terms)
-    return f"""w as (select {key}, coalesce({tok(column)}, []) words from {source}),
- st as (select count(*) n, avg(len(words)) filter (where len(words) > 0) avgdl from w),
- q as (select * from (values {values}) q(term)),
- dfs as (select term, count(*) filter (where list_contains(words, term)) df from w, q group by term),
- b as (select {key}, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len(words) / avgdl))) score
-       from (select w.{key}, w.words, q.term, len(list_filter(w.words, lambda x: x = q.term)) f from w, q) t join dfs using (term), st group by {key})"""
+    return f"""w{tag} as (select {key}, coalesce({tok(column)}, []) words from {source}),
+ st{tag} as (select count(*) n, avg(len(words)) filter (where len(words) > 0) avgdl from w{tag}),
+ q{tag} as (select * from (values {values}) q(term)),
+ dfs{tag} as (select term, count(*) filter (where list_contains(words, term)) df from w{tag}, q{tag} group by term),
+ b{tag} as (select {key}, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len(words) / avgdl))) score
+       from (select w.{key}, w.words, q.term, len(list_filter(w.words, lambda x: x = q.term)) f from w{tag} w, q{tag} q) t join dfs{tag} using (term), st{tag} group by {key})"""
 
 
 def terms_lookup(spark, sf):
@@ -278,6 +278,12 @@ _RING = [(0.1, 0.2), (50.3, 10.4), (30.7, 60.1)]
 _POLY = " + ".join(f"(case when ({ya} > lat) <> ({yb} > lat) and lon < (lat - {ya}) * {xb - xa} / {yb - ya} + {xa} then 1 else 0 end)" for (ya, xa), (yb, xb) in zip(_RING, _RING[1:] + _RING[:1]))
 
 
+def _hybrid_sql(value: str) -> str:
+    top = "(select doc_id, {w} * {v} s from b{t} where score > 0 order by score desc, doc_id limit 50)"
+    parts = " union all ".join("select * from " + top.format(w=w, v=value, t=t) for w, t in ((2, "1"), (1, "2")))
+    return f"with {bm25('documents', 'doc_id', 'text', ['token', 'cache'], '1')}, {bm25('documents', 'doc_id', 'text', ['vector', 'index'], '2')} select doc_id, round(sum(s), 6)::double score from ({parts}) group by doc_id order by sum(s) desc, doc_id limit 20"
+
+
 def _ids(source: str, key: str, where: str) -> str:
     return f"select {key} from {source} where {where}"
 
@@ -320,10 +326,20 @@ where case q when 'vectors' then list_contains(w, 'vector') when 'queue' then so
     "t_phrase_prefix": _ids(_DOCS, "doc_id", "contains(' ' || array_to_string(w, ' '), ' the token ca')"),
     "t_bool_prefix": _ids(_DOCS, "doc_id", "list_contains(w, 'token') and contains(' ' || array_to_string(w, ' '), ' ca')"),
     "t_multi_match_best": "with "
-    + bm25("ai_kb", "id", "title", ["cache", "shard"]).replace("w as", "w1 as", 1).replace(" from w)", " from w1)").replace("from w, q", "from w1 w, q").replace("st as", "st1 as").replace("q as (", "q1 as (").replace("w, q ", "w, q1 q ").replace("w, q)", "w, q1 q)").replace("dfs as", "dfs1 as").replace("join dfs using", "join dfs1 using").replace("(term), st ", "(term), st1 ").replace("b as", "b1 as")
+    + bm25("ai_kb", "id", "title", ["cache", "shard"], "1")
     + ", "
-    + bm25("ai_kb", "id", "content", ["cache", "shard"])
-    + " select id, round(s, 6) score from (select id, greatest(x, y) + 0.3 * (x + y - greatest(x, y)) s from (select id, 2 * b1.score x, b.score y from b1 join b using (id))) where s > 0 order by s desc, id limit 20",
+    + bm25("ai_kb", "id", "content", ["cache", "shard"], "2")
+    + " select id, round(s, 6) score from (select id, greatest(x, y) + 0.3 * (x + y - greatest(x, y)) s from (select id, 2 * b1.score x, b2.score y from b1 join b2 using (id))) where s > 0 order by s desc, id limit 20",
+    "t_highlight": "with " + bm25("documents", "doc_id", "text", ["token", "cache"]) + " select doc_id, len(list_filter(words, lambda x: x in ('token', 'cache')))::int marks from b join w using (doc_id) where score > 0 order by score desc, doc_id limit 50",
+    "s_rank_eval": "with "
+    + bm25("documents", "doc_id", "text", ["token", "cache"])
+    + """, r as (select doc_id, row_number() over (order by score desc, doc_id) k from b where score > 0 qualify k <= 10),
+j as (select k, starts_with(source, 'releases')::int rel from r join documents using (doc_id)), n as (select count(*) n from documents where starts_with(source, 'releases')),
+i as (select sum(1 / log2(x + 1)) idcg from n, range(1, 11) t(x) where x <= n)
+select round(avg(rel), 6) as precision, round(sum(rel) / any_value(n), 6) recall, round(max(rel / k), 6) reciprocal_rank, round(sum(rel / log2(k + 1)) / any_value(idcg), 6) ndcg from j, n, i""",
+    "v_hybrid_rrf": _hybrid_sql("1.0 / (60 + row_number() over (order by score desc, doc_id))"),
+    "v_hybrid_linear": _hybrid_sql("score"),
+    "v_sq8": "with m as (select min(list_min(embedding))::double lo, max(list_max(embedding))::double hi from embeddings) select vec_id, list_sum(list_transform(embedding, lambda x: round((x::double - lo) / ((hi - lo) / 255.0))))::int code_sum from embeddings, m",
     "t_multi_match_cross": f"select id from (select id, list_concat(coalesce({tok('title')}, []), coalesce({tok('content')}, [])) w from ai_kb) where list_contains(w, 'cache') and list_contains(w, 'shard')",
     "t_query_string": _ids(_DOCS, "doc_id", "(list_contains(w, 'token') or list_contains(w, 'vector')) and list_contains(w, 'cache') and coalesce(lang, '') <> 'de' and n_chars between 100 and 900"),
     "t_simple_query_string": _ids(_DOCS, "doc_id", "list_contains(w, 'token') and not list_contains(w, 'replica')"),
