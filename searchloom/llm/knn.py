@@ -76,40 +76,50 @@ class CrossPolytope:
 
 
 class PrefixTree:
-    """The leaves of one table: hash sequences, cut as soon as a bucket is expected to be small enough."""
+    """The leaves of one table: hash sequences, cut as soon as a bucket is expected to be small enough.
 
-    def __init__(self, hashes: np.ndarray, scale: float, bucket: int):
-        self.inner: set[tuple[int, ...]] = set()
-        self.blocks: dict[tuple[int, ...], int] = {}
-        stack: list[tuple[tuple[int, ...], np.ndarray]] = [((), np.arange(len(hashes)))]
+    Inner nodes are rows of a transition array over the signed axes; what it doesn't lead to is a leaf, numbered by its
+    inner node and axis, so that vectors the sample didn't show have leaves too.
+    """
+
+    def __init__(self, hashes: np.ndarray, axes: int, scale: float, bucket: int):
+        self.axes = axes
+        child: list[np.ndarray] = []
+        self.blocks: dict[int, int] = {}
+        depth = hashes.shape[1]
+        stack = [(-1, 0, 0, np.arange(len(hashes)))]  # parent, axis, depth, rows
         while stack:
-            prefix, rows = stack.pop()
+            parent, axis, d, rows = stack.pop()
             expect = len(rows) * scale
             if expect <= bucket:
                 continue
-            if len(prefix) == hashes.shape[1]:
-                self.blocks[prefix] = int(np.ceil(expect / bucket))
+            if d == depth:
+                self.blocks[parent * axes + axis] = int(np.ceil(expect / bucket))
                 continue
-            self.inner.add(prefix)
-            column = hashes[rows, len(prefix)]
-            stack.extend(((*prefix, int(v)), rows[column == v]) for v in np.unique(column))
-
-    def leaf(self, row: np.ndarray) -> tuple[int, ...]:
-        d = 0
-        while d < len(row) and tuple(row[:d]) in self.inner:
-            d += 1
-        return tuple(row[:d])
-
-
-def _leaves(tree: PrefixTree, hashes: list[list[int]]) -> list[tuple[int, ...]]:
-    out = []
-    inner = tree.inner
-    for row in hashes:
-        p: tuple[int, ...] = ()
-        while p in inner:
-            p = (*p, row[len(p)])
-        out.append(p)
-    return out
+            node = len(child)
+            child.append(np.full(axes, -1, dtype=np.int64))
+            if parent >= 0:
+                child[parent][axis] = node
+            column = hashes[rows, d]
+            stack.extend((node, int(v), d + 1, rows[column == v]) for v in np.unique(column))
+        self.child = np.stack(child) if child else np.zeros((0, axes), dtype=np.int64)
+
+    def leaf(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The leaf of each row of hashes, and how many of its hashes lead there."""
+        n = len(hashes)
+        code, length = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
+        if not len(self.child):
+            return code, length
+        node, live = np.zeros(n, dtype=np.int64), np.arange(n)
+        for d in range(hashes.shape[1]):
+            axis = hashes[live, d]
+            code[live] = node[live] * self.axes + axis
+            length[live] = d + 1
+            node[live] = self.child[node[live], axis]
+            live = live[node[live] >= 0]
+            if not len(live):
+                break
+        return code, length
 
 
 def distinct_vectors(df: DataFrame, vector: str, key: str, dim: int, k: int) -> DataFrame:
@@ -167,8 +177,8 @@ def _search(index: DataFrame, n: int, dim: int, k: int, floor: float, tables: in
     share = min(1.0, 1.2 * SAMPLE / n)
     taken = index.select("__u") if share == 1.0 else index.where(F.pmod(F.hash("__v"), F.lit(1_000_000)) < int(share * 1_000_000)).select("__u")
     sample = np.array(taken.limit(2 * SAMPLE).toPandas()["__u"].tolist(), dtype=np.float64).reshape(-1, dim)
-    trees = [PrefixTree(lsh.hash(sample, t)[0], n / max(1, len(sample)), bucket) for t in range(tables)]
-    shared = spark.sparkContext.broadcast((lsh, trees))  # at most tables x 2 x SAMPLE / bucket x depth prefixes
+    trees = [PrefixTree(lsh.hash(sample, t)[0], 2 * lsh.width, n / max(1, len(sample)), bucket) for t in range(tables)]
+    shared = spark.sparkContext.broadcast((lsh, trees))  # at most tables x 2 x SAMPLE / bucket x depth nodes
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lsh, trees = shared.value
@@ -177,70 +187,80 @@ def _search(index: DataFrame, n: int, dim: int, k: int, floor: float, tables: in
                 pdf = whole.iloc[at : at + 4096]
                 ids = pdf["__v"].to_numpy()
                 x = np.array(pdf["__u"].tolist(), dtype=np.float64).reshape(-1, dim)
-                out: dict[str, list] = {"g": [], "v": [], "is_query": [], "row": []}
+                every = np.arange(len(ids))
+                parts: list[tuple[np.ndarray, np.ndarray, bool]] = []  # group, row, is a query
                 for t in range(lsh.tables):
                     tree = trees[t]
                     first, second, margin = lsh.hash(x, t)
-                    f, s = first.tolist(), second.tolist()
-                    leaves = _leaves(tree, f)
-                    for i, leaf in enumerate(leaves):
-                        nb = tree.blocks.get(leaf, 1)
-                        own = int(ids[i]) % nb
-                        for q in range(nb):
-                            out["g"].append(hash((t, leaf, own, q)))
-                            out["v"].append(ids[i])
-                            out["is_query"].append(False)
-                            out["row"].append(i)
-                        seen = {leaf}
-                        reach = [leaf]
-                        for d in np.argsort(margin[i, : len(leaf)])[:probes]:
-                            alt = list(f[i])
-                            alt[d] = s[i][d]
-                            p: tuple[int, ...] = ()
-                            while p in tree.inner:
-                                p = (*p, alt[len(p)])
-                            if p not in seen:
-                                seen.add(p)
-                                reach.append(p)
-                        for p in reach:
-                            nb = tree.blocks.get(p, 1)
-                            mine = int(ids[i]) // 7 % nb
-                            for b in range(nb):
-                                out["g"].append(hash((t, p, b, mine)))
-                                out["v"].append(ids[i])
-                                out["is_query"].append(True)
-                                out["row"].append(i)
-                rows = np.array(out.pop("row"), dtype=np.int64)
-                made = pd.DataFrame(out)
+                    own, length = tree.leaf(first)
+                    margin[np.arange(lsh.depth)[None, :] >= length[:, None]] = np.inf
+                    order = np.argsort(margin, axis=1)[:, :probes]
+                    asked = [(own, every)]
+                    for r in range(order.shape[1]):
+                        d = order[:, r]
+                        rows = every[np.isfinite(margin[every, d])]
+                        alt = first[rows].copy()
+                        alt[np.arange(len(rows)), d[rows]] = second[rows, d[rows]]
+                        asked.append((tree.leaf(alt)[0], rows))
+                    for code, rows, query in [(own, every, False), *[(c, r, True) for c, r in asked]]:
+                        blocks = np.array([tree.blocks.get(c, 1) for c in code.tolist()]) if tree.blocks else np.ones(len(code), dtype=np.int64)
+                        # In a grid of blocks a vector lies in one row of blocks, a query in one column.
+                        rep = np.repeat(np.arange(len(code)), blocks)
+                        other = np.arange(len(rep)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+                        nb, mine = blocks[rep], np.mod(ids[rows[rep]] // (7 if query else 1), blocks[rep])
+                        block = other * nb + mine if query else mine * nb + other
+                        # One number names bucket and block. Should two agree, their vectors are compared together, which changes no result.
+                        parts.append(((code[rep] * lsh.tables + t) ^ (block << 40), rows[rep], query))
+                rows = np.concatenate([p[1] for p in parts])
+                made = pd.DataFrame({"g": np.concatenate([p[0] for p in parts]), "v": ids[rows], "is_query": np.concatenate([np.full(len(p[1]), p[2]) for p in parts])})
                 for j in range(dim):
                     made[f"x{j}"] = x[rows, j]
                 yield made
 
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        names = [f"x{j}" for j in range(dim)]
-        asked = pdf["is_query"].to_numpy()
-        x, v = pdf[names].to_numpy(), pdf["v"].to_numpy()
-        data, data_v = x[~asked], v[~asked]
-        query, query_v = x[asked], v[asked]
-        parts = []
-        if len(data):
-            for at in range(0, len(query), 1024):
-                sim = query[at : at + 1024] @ data.T
-                ids = query_v[at : at + 1024]
-                sim[ids[:, None] == data_v[None, :]] = -2.0
-                if sim.shape[1] > k:
-                    kth = np.partition(sim, sim.shape[1] - k, axis=1)[:, -k]
-                    keep = sim >= np.maximum(kth, floor)[:, None]
-                else:
-                    keep = sim >= floor
-                keep &= sim > -1.5
-                i, j = np.nonzero(keep)
-                parts.append(pd.DataFrame({"__q": ids[i], "__nv": data_v[j], "similarity": sim[i, j]}))
-        return pd.concat(parts) if parts else pd.DataFrame({"__q": [], "__nv": [], "similarity": []})
-
-    axes = ", ".join(f"x{j} double" for j in range(dim))
+    names = [f"x{j}" for j in range(dim)]
+
+    def compare(x: np.ndarray, v: np.ndarray, asked: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """The k best vectors of each query of one group, in blocks of queries."""
+        data, data_v, query, query_v = x[~asked], v[~asked], x[asked], v[asked]
+        if not len(data):
+            return
+        for at in range(0, len(query), 1024):
+            sim = query[at : at + 1024] @ data.T
+            ids = query_v[at : at + 1024]
+            sim[ids[:, None] == data_v[None, :]] = -2.0
+            if sim.shape[1] > k:
+                kth = np.partition(sim, sim.shape[1] - k, axis=1)[:, -k]
+                keep = sim >= np.maximum(kth, max(floor, -1.5))[:, None]
+            else:
+                keep = sim >= max(floor, -1.5)
+            i, j = np.nonzero(keep)
+            yield ids[i], data_v[j], sim[i, j]
+
+    def groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Groups of rows sorted by ``g``; one that reaches over the end of a batch waits for the next."""
+        rest = None
+
+        def found(pdf: pd.DataFrame) -> pd.DataFrame:
+            g, x, v, asked = pdf["g"].to_numpy(), pdf[names].to_numpy(), pdf["v"].to_numpy(), pdf["is_query"].to_numpy()
+            ends = np.flatnonzero(np.concatenate([g[1:] != g[:-1], [True]])) + 1
+            parts = [p for a, b in zip([0, *ends[:-1]], ends) for p in compare(x[a:b], v[a:b], asked[a:b])]
+            q, n, s = (np.concatenate(c) for c in zip(*parts)) if parts else ([], [], [])
+            return pd.DataFrame({"__q": q, "__nv": n, "similarity": s})
+
+        for pdf in batches:
+            pdf = pdf if rest is None else pd.concat([rest, pdf])
+            g = pdf["g"].to_numpy()
+            cut = int(np.searchsorted(g, g[-1])) if len(g) else 0
+            rest = pdf.iloc[cut:]
+            if cut:
+                yield found(pdf.iloc[:cut])
+        if rest is not None and len(rest):
+            yield found(rest)
+
+    axes = ", ".join(f"{c} double" for c in names)
     routed = index.mapInPandas(route, f"g bigint, v bigint, is_query boolean, {axes}")
-    pairs = routed.groupBy("g").applyInPandas(compare, "__q bigint, __nv bigint, similarity double")
+    # Groups are many and small, so they are streamed through a task in order rather than handed over one by one.
+    pairs = routed.repartition("g").sortWithinPartitions("g").mapInPandas(groups, "__q bigint, __nv bigint, similarity double")
     best = pairs.groupBy("__q", "__nv").agg(F.max("similarity").alias("similarity"))
     w = Window.partitionBy("__q").orderBy(F.desc("similarity"), "__nv")
     return best.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= k).drop("__r")
