@@ -43,7 +43,7 @@ def expand(edges: DataFrame, seeds: DataFrame, hops: int = 1, direction: str = "
         hit = hit.withColumn("hop", F.lit(hop))
         out = hit if out is None else out.unionByName(hit)
         if hop < hops:
-            new = hit.select(F.col("__to").alias("node")).distinct().join(F.broadcast(seen), "node", "left_anti")
+            new = hit.select(F.col("__to").alias("node")).distinct().join(seen, "node", "left_anti")
             now = new.orderBy("node").limit(frontier)
     w = Window.partitionBy("edge_id").orderBy("hop", F.desc("weight"), "src", "dst", "valid_at")
     return out.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r", "__to")
