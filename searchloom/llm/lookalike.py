@@ -25,6 +25,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from searchloom.lookup import lookup_join
+from searchloom.scratch import materialize
+
 #: Letters and signs of other alphabets or codes, each above the ordinary one it looks like.
 LOOKALIKE_FROM = "аеорсухіјѕһԁԛԝӏАВЕКМНОРСТХІЈЅУԚԜΑΒΕΖΗΙΚΜΝΟΡΤΥΧονɑɡօ∕⁄∗∶ǃ․‐"
 LOOKALIKE_TO = "aeopcyxijshdqwlABEKMHOPCTXIJSYQWABEZHIKMNOPTYXovago//*:!.-"
@@ -169,29 +172,38 @@ def visible(col: Column | str) -> Column:
 
 
 def lookalike_classes(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key``, ``variant`` and ``look``: 128-bit fingerprints of the text itself and of its canonical form, as strings.
+    """``key``, ``variant`` and ``look``: 128-bit fingerprints of the text itself and of its canonical form, in binary.
 
     Two rows look the same if they agree in ``look``, and are the same string if they agree in ``variant`` too. Rows
     without a text or with nothing visible are left out.
     """
     c = with_canonical(df.select(F.col(f"`{key}`").alias("__id"), F.col(f"`{text}`").alias("__text")), "__text", "__look").where(visible("__look"))
-    return c.select(F.col("__id").alias(key), F.md5("__text").alias("variant"), F.md5("__look").alias("look"))
+    return c.select(F.col("__id").alias(key), F.unhex(F.md5("__text")).alias("variant"), F.unhex(F.md5("__look")).alias("look"))
+
+
+#: Parts into which the rows of one string are spread when they are joined.
+SPREAD = 16
 
 
 def lookalike_pairs(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``{key}_a`` < ``{key}_b``: every pair of rows whose texts look the same but are different strings.
 
-    First the different strings of each look are paired, one row per string whatever its number of copies; only looks
-    with more than one string go on. Then the members are joined to the pairs of strings. A look that a large share of
-    all rows has makes a hot key only if its strings differ, and then its pairs are the result that was asked for;
-    the members of a string are spread over parts by their id so that no task holds them all.
+    The fingerprints are written, so that the texts are read and normalized once. Then the different strings of each
+    look are paired, one row per string whatever its number of copies, and only looks with more than one string go on.
+    The rows of the more frequent string of a pair are joined first and those of the other one next, both spread over
+    ``SPREAD`` parts by id: one string may hold a large share of all rows, and no task gets more than its part of them.
     """
-    rows = lookalike_classes(df, key, text)
+    rows = materialize(lookalike_classes(df, key, text), "look").where(F.col(f"`{key}`").isNotNull())
+    members = rows.select(F.col(f"`{key}`").alias("__m"), "variant")
     strings = rows.groupBy("look", "variant").agg(F.count("*").alias("members"))
     mixed = strings.groupBy("look").agg(F.count("*").alias("n")).where("n > 1").select("look")
-    live = strings.join(mixed, "look", "left_semi")
-    pairs = live.select("look", F.col("variant").alias("va")).join(live.select("look", F.col("variant").alias("vb")), "look").where("va < vb").select("va", "vb")
-    members = rows.select(F.col(f"`{key}`").alias("__m"), "variant")
-    half = pairs.join(members.select(F.col("__m").alias("__a"), F.col("variant").alias("va")), "va").select("__a", "vb")
-    both = half.join(members.select(F.col("__m").alias("__b"), F.col("variant").alias("vb")), "vb")
-    return both.where("__a is not null and __b is not null and __a != __b").select(F.least("__a", "__b").alias(f"{key}_a"), F.greatest("__a", "__b").alias(f"{key}_b")).distinct()
+    live = strings.join(mixed, "look", "left_semi").select("look", F.struct("members", "variant").alias("s"))
+    pairs = live.select("look", F.col("s").alias("sa")).join(live.select("look", F.col("s").alias("sb")), "look").where("sa > sb")
+    pairs = pairs.select(F.col("sa.variant").alias("va"), F.col("sb.variant").alias("vb"))
+    part = lambda c: F.pmod(F.xxhash64(c), F.lit(SPREAD))
+    parts = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SPREAD - 1).cast("bigint")))
+    many = members.select(F.col("__m").alias("__a"), F.col("variant").alias("va"), part("__m").alias("__p"))
+    half = pairs.withColumn("__p", parts).join(many, ["va", "__p"]).select("__a", "vb", part("__a").alias("__p"))
+    few = lookup_join(members.withColumnRenamed("variant", "vb"), pairs.select("vb").distinct(), ["vb"])
+    both = half.join(few.select("vb", F.col("__m").alias("__b"), parts.alias("__p")), ["vb", "__p"]).where("__a != __b")
+    return both.select(F.least("__a", "__b").alias(f"{key}_a"), F.greatest("__a", "__b").alias(f"{key}_b")).distinct()
