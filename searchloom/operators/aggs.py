@@ -194,7 +194,7 @@ def with_metrics(level: Level, subs: dict) -> DataFrame:
         elif kind in METRICS and kind != "top_hits":
             exprs += metric_columns(level, name, kind, spec[kind])
         elif kind == "filter" and not _subs(spec):
-            exprs.append(F.sum(compile_query(level.df, spec[kind], id=level.id, **_query_options(level))[0].match.cast("bigint")).alias(name))
+            exprs.append(F.count_if(compile_query(level.df, spec[kind], id=level.id, **_query_options(level))[0].match).alias(name))
         elif kind == "missing" and not _subs(spec):
             exprs.append(F.sum(level.col(spec[kind]["field"])[0].isNull().cast("bigint")).alias(name))
     out = level.df.groupBy(*level.keys).agg(*exprs)

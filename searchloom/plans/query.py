@@ -188,10 +188,10 @@ class Compiler:
             raise QueryError("the query is nested too deeply")
         c = f(body)
         self.ctx.depth -= 1
-        c.match = sure(c.match)
+        # A match may be null, which a filter takes for no; it isn't wrapped here, so that comparisons reach the scan.
         name = body.get("_name") if isinstance(body, dict) else None
         if name:
-            self.ctx.named.append((name, c.match))
+            self.ctx.named.append((name, sure(c.match)))
         return c
 
     def many(self, body) -> list[Clause]:
@@ -254,7 +254,7 @@ class Compiler:
     def q_terms_set(self, b):
         name, p = _one(b, "terms")
         col, kind = self.ctx.resolve(name)
-        hits = total([(F.array_contains(col, t) if isinstance(kind, T.ArrayType) else col == t).cast("int") for t in p["terms"]])
+        hits = total([sure(F.array_contains(col, t) if isinstance(kind, T.ArrayType) else col == t).cast("int") for t in p["terms"]])
         if "minimum_should_match_field" in p:
             need = self.ctx.resolve(p["minimum_should_match_field"])[0]
         elif "minimum_should_match_script" in p:
@@ -354,13 +354,13 @@ class Compiler:
     def q_bool(self, b):
         get = lambda k: self.many(b[k]) if b.get(k) else []
         must, filters, should, never = get("must"), get("filter"), get("should"), get("must_not")
-        conds = [c.match for c in must + filters] + [~c.match for c in never]
+        conds = [c.match for c in must + filters] + [~sure(c.match) for c in never]
         if should:
             need = should_match(b.get("minimum_should_match"), len(should)) if "minimum_should_match" in b else (0 if must or filters else 1)
             if need == 1:
                 conds.append(any_of([c.match for c in should]))
             elif need > 1:
-                conds.append(total([c.match.cast("int") for c in should]) >= need)
+                conds.append(total([sure(c.match).cast("int") for c in should]) >= need)
         match = all_of(conds)
         scores = [F.when(c.match, c.score).otherwise(0.0) for c in must + should]
         if not scores and not filters and not never:
@@ -511,7 +511,7 @@ class Compiler:
             m = geo.haversine(lat, lon, *geo.point(c)) <= geo.metres(s["radius"])
         else:
             raise QueryError(f"unknown shape {kind}")
-        return self.const(~m if b[name].get("relation") == "disjoint" else m, b.get("boost", 1.0))
+        return self.const(~sure(m) if b[name].get("relation") == "disjoint" else m, b.get("boost", 1.0))
 
     # text
     def _terms(self, name: str, query) -> list[str]:

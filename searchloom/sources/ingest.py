@@ -172,7 +172,7 @@ def update_by_query(df: DataFrame, query: dict, changes: dict[str, str | dict],
 def delete_by_query(df: DataFrame, query: dict, id: str = "_id") -> DataFrame:  # noqa: A002
     from searchloom.plans.query import compile_query
 
-    return df.where(~compile_query(df, query, id=id)[0].match)
+    return df.where(~F.coalesce(compile_query(df, query, id=id)[0].match, F.lit(False)))
 
 
 def enrich(df: DataFrame, lookup: DataFrame, match_field: str, lookup_field: str, fields: list[str]) -> DataFrame:
