@@ -124,16 +124,53 @@ def sequence_edges(df: DataFrame, group: str, order: str, key: str) -> DataFrame
 
 
 def shared_terms(docs: DataFrame, key: str, text: str, share: float = 0.1, most_docs: int = 64, per_doc: int = 24, least: int = 2, edges_per_doc: int = 5, weight: float = 0.45) -> DataFrame:
-    """Documents that share rare terms.
+    """Documents that share the distinctive terms they repeat.
 
     A term joins documents if at most ``share`` of all and at most ``most_docs`` have it, so no term brings more than a fixed number
-    of pairs; of a document its ``per_doc`` rarest terms count, and it keeps its ``edges_per_doc`` strongest partners.
+    of pairs; of a document its ``per_doc`` most repeated terms count (then the rarest), and no document has more than
+    ``edges_per_doc`` partners on either side.
     """
-    toks = docs.select(F.col(key).alias("d"), F.explode(F.array_distinct(standard(F.col(text)))).alias("t")).where(F.length("t") > 2)
+    words = docs.select(F.col(key).alias("d"), F.explode(standard(F.col(text))).alias("t")).where(F.length("t") > 2)
+    toks = words.groupBy("d", "t").agg(F.count("*").alias("n"))
     n = docs.count()
     df = toks.groupBy("t").agg(F.count("*").alias("df")).where((F.col("df") >= 2) & (F.col("df") <= F.lit(min(most_docs, share * n))))
     j = toks.join(df, "t")
-    r = j.withColumn("r", F.row_number().over(Window.partitionBy("d").orderBy("df", "t"))).where(F.col("r") <= per_doc).select("d", "t")
+    r = j.withColumn("r", F.row_number().over(Window.partitionBy("d").orderBy(F.desc("n"), "df", "t"))).where(F.col("r") <= per_doc).select("d", "t")
     pairs = r.alias("a").join(r.alias("b"), "t").where("a.d < b.d").groupBy(F.col("a.d").alias("src"), F.col("b.d").alias("dst")).agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
-    w = Window.partitionBy("src").orderBy(F.desc("shared"), "dst")
-    return pairs.withColumn("r", F.row_number().over(w)).where(F.col("r") <= edges_per_doc).drop("r").withColumn("edge_type", F.lit("shared_term")).withColumn("weight", F.lit(weight))
+    return _spend(pairs, edges_per_doc).withColumn("edge_type", F.lit("shared_term")).withColumn("weight", F.lit(weight))
+
+
+def _spend(pairs: DataFrame, budget: int) -> DataFrame:
+    """Pairs (src, dst, shared) such that no document is in more than ``budget`` of them.
+
+    In each of ``budget`` rounds every document, in the order of keys, takes its strongest pair left whose other end has room too. Each choice
+    depends on those before it, so one task makes them all; it gets the pairs only, as numbers.
+    """
+    import numpy as np
+    import pandas as pd
+
+    def spend(pdf: pd.DataFrame) -> pd.DataFrame:
+        m = len(pdf)
+        names = pd.concat([pdf["src"], pdf["dst"]], ignore_index=True)
+        codes = pd.factorize(names, sort=True)[0]
+        ends, other = codes, np.concatenate([codes[m:], codes[:m]])
+        order = np.lexsort((other, -np.tile(pdf["shared"].to_numpy(), 2), ends))
+        stop = np.cumsum(np.bincount(ends)).tolist()
+        at, room, taken = [0, *stop[:-1]], [budget] * len(stop), np.zeros(m, dtype=bool)
+        other, pair = other[order], order % m
+        for _ in range(budget):
+            progressed = False
+            for d in range(len(stop)):
+                while room[d] and at[d] < stop[d]:
+                    i = at[d]
+                    at[d] += 1
+                    if room[other[i]] and not taken[pair[i]]:
+                        room[d] -= 1
+                        room[other[i]] -= 1
+                        taken[pair[i]] = progressed = True
+                        break
+            if not progressed:
+                break
+        return pdf[taken]
+
+    return pairs.groupBy(F.lit("all").alias("__all")).applyInPandas(spend, pairs.schema)

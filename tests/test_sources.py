@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import gzip
 import json
+import random
 import sqlite3
 import zipfile
 
@@ -135,6 +136,38 @@ def test_graph(spark):
     assert graph.expand(e.limit(0), seeds, 2).count() == 0
 
 
+def test_shared_terms_are_the_repeated_ones(spark):
+    rare = {d: " ".join(f"rare{i:02}" for i in range(30) if (i % 2 == 0) == (d == "b")) for d in ("b", "c")}
+    rows = [("a", "topic topic theme theme " + " ".join(f"rare{i:02}" for i in range(30))), ("b", rare["b"]), ("c", rare["c"])]
+    rows += [(d, "topic theme") for d in ("d", "e")] + [(f"f{i:02}", f"filler{i}") for i in range(60)]
+    got = {(r["src"], r["dst"]): r["shared"] for r in graph.shared_terms(spark.createDataFrame(rows, "id string, body string"), "id", "body").collect()}
+    assert got == {("a", "b"): 11, ("a", "c"): 11, ("a", "d"): 2, ("a", "e"): 2, ("d", "e"): 2}
+
+
+def test_shared_terms_spend_the_budget_on_both_ends(spark):
+    rows = [(f"{i:02}", f"left{i} right{i}") for i in range(9)] + [("99", " ".join(f"left{i} right{i}" for i in range(9)))] + [(f"z{i:02}", f"filler{i}") for i in range(40)]
+    got = graph.shared_terms(spark.createDataFrame(rows, "id string, body string"), "id", "body").collect()
+    assert sorted((r["src"], r["dst"]) for r in got) == [(f"{i:02}", "99") for i in range(5)]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_spending_equals_the_rounds(spark, seed):
+    rnd = random.Random(seed)
+    pairs = {tuple(sorted(rnd.sample(range(40), 2))): rnd.randint(2, 4) for _ in range(300)}
+    lists = {d: sorted((-n, *(set(p) - {d})) for p, n in pairs.items() if d in p) for d in range(40)}
+    degree, want = dict.fromkeys(lists, 0), set()
+    for _ in range(5):
+        for d in sorted(lists):
+            while degree[d] < 5 and lists[d]:
+                p = lists[d].pop(0)[1]
+                if tuple(sorted((d, p))) not in want and degree[p] < 5:
+                    want.add(tuple(sorted((d, p))))
+                    degree[d], degree[p] = degree[d] + 1, degree[p] + 1
+                    break
+    made = graph._spend(spark.createDataFrame([(*p, n) for p, n in pairs.items()], "src int, dst int, shared long"), 5).collect()
+    assert {(r["src"], r["dst"]) for r in made} == want and len(made) == len(want)
+
+
 def test_memory(spark):
     notes = spark.createDataFrame([(1, [1.0, 0.0])], "id int, embedding array<double>")
     new = spark.createDataFrame([(2, [0.99, 0.01]), (3, [0.0, 1.0])], "id int, embedding array<double>")
