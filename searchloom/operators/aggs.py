@@ -624,16 +624,34 @@ def _auto_date(level: Level, name: str, p: dict) -> Level:
 
 
 def variable_width(level: Level, name: str, p: dict) -> DataFrame:
-    """Clusters of neighbouring values. Values are first counted, coarsened to at most 5000 cells, and only those counts are merged in one task per parent."""
+    """Clusters of neighbouring values. Values are first counted; where there are more than max(5000, 50 x buckets) distinct ones, neighbours are put together
+    into at most that many groups of equal weight. Only the groups are merged in one task per parent.
+    """
     import pandas as pd
+    import pyarrow as pa
 
     want, keys = int(p.get("buckets", 10)), list(level.keys)
+    cap = max(5000, 50 * want)
     v = _number(level, p)
-    rows = level.df.select(*level.keys, v.alias("__v")).where("__v is not null")
-    ends = rows.groupBy(*level.keys).agg(F.min("__v").alias("__lo"), F.max("__v").alias("__hi"), F.count_distinct("__v").alias("__d"))
-    rows = rows.join(ends, level.keys) if level.keys else rows.crossJoin(F.broadcast(ends))
-    cell = F.when(F.col("__d") <= 5000, F.col("__v")).otherwise(F.floor((F.col("__v") - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * 4999).cast("double"))
-    cells = rows.groupBy(*level.keys, cell.alias("__c")).agg(F.count("*").alias("n"), F.sum("__v").alias("s"), F.min("__v").alias("lo"), F.max("__v").alias("hi"))
+    counts = level.df.select(*level.keys, v.alias("__v")).where("__v is not null").groupBy(*level.keys, "__v").agg(F.count("*").alias("n"))
+    w = Window.partitionBy(*level.keys)
+    per = F.when(F.count("*").over(w) > cap, F.ceil(F.sum("n").over(w) / cap)).otherwise(1)
+    counts = counts.withColumns({"__per": per.cast("long"), "__first": (F.row_number().over(w.orderBy("__v")) == 1) | F.isnan("__v")}).sortWithinPartitions(*level.keys, "__v")
+
+    def number(batches):
+        """Numbers the groups along the sorted values: a group ends when it has its weight, as upstream does, and before a NaN."""
+        g, weight = 0, 0
+        for b in batches:
+            groups = []
+            for n, per, first in zip(*(b.column(c).to_pylist() for c in ("n", "__per", "__first"))):
+                if first or weight >= per:
+                    g, weight = g + 1, 0
+                weight += n
+                groups.append(g)
+            yield b.append_column("__g", pa.array(groups, pa.int64()))
+
+    numbered = counts.mapInArrow(number, T.StructType([*counts.schema.fields, T.StructField("__g", T.LongType())]))
+    cells = numbered.groupBy(*level.keys, "__g").agg(F.sum("n").alias("n"), F.sum(F.col("__v") * F.col("n")).alias("s"), F.min("__v").alias("lo"), F.max("__v").alias("hi"))
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         import heapq
@@ -642,7 +660,12 @@ def variable_width(level: Level, name: str, p: dict) -> DataFrame:
         n, s, lo, hi = (pdf[c].tolist() for c in ("n", "s", "lo", "hi"))
         m = len(n)
         nxt, prv, alive, ver = list(range(1, m + 1)), list(range(-1, m - 1)), [True] * m, [0] * m
-        heap = [(s[i + 1] / n[i + 1] - s[i] / n[i], i, 0, 0) for i in range(m - 1)]
+
+        def gap(i, j):
+            d = s[j] / n[j] - s[i] / n[i]
+            return d if d == d else float("inf")  # a NaN has no order, which the heap needs
+
+        heap = [(gap(i, i + 1), i, 0, 0) for i in range(m - 1)]
         heapq.heapify(heap)
         left = m
         while left > want and heap:
@@ -656,10 +679,10 @@ def variable_width(level: Level, name: str, p: dict) -> DataFrame:
             if nxt[i] < m:
                 k = nxt[i]
                 prv[k] = i
-                heapq.heappush(heap, (s[k] / n[k] - s[i] / n[i], i, ver[i], ver[k]))
+                heapq.heappush(heap, (gap(i, k), i, ver[i], ver[k]))
             if prv[i] >= 0:
                 h = prv[i]
-                heapq.heappush(heap, (s[i] / n[i] - s[h] / n[h], h, ver[h], ver[i]))
+                heapq.heappush(heap, (gap(h, i), h, ver[h], ver[i]))
             left -= 1
         keep = [i for i in range(m) if alive[i]]
         made = pd.DataFrame({"key": [s[i] / n[i] for i in keep], "min": [lo[i] for i in keep], "max": [hi[i] for i in keep], "doc_count": [n[i] for i in keep]})

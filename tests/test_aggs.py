@@ -62,6 +62,35 @@ def test_variable_width(spark):
     assert [(round(x["k"], 3), x["doc_count"]) for x in r] == [(-1.333, 3), (5.5, 4), (9.5, 4)]
 
 
+def test_variable_width_of_many_values_with_an_outlier(spark):
+    v = [float(c * 1000 + i / 10) for c in range(4) for i in range(2000)] + [1e9]
+    df = spark.createDataFrame([(k, i, x) for k in (None, "a") for i, x in enumerate(v)], "p string, _id int, v double")
+    agg = {"variable_width_histogram": {"field": "v", "buckets": 5}}
+    want = [(0.0, 199.9, 2000), (1000.0, 1199.9, 2000), (2000.0, 2199.9, 2000), (3000.0, 3199.9, 2000), (1e9, 1e9, 1)]
+    assert [(x["min"], x["max"], x["doc_count"]) for x in run_aggs(df.where("p = 'a'"), {"k": agg})["k"].orderBy("k").collect()] == want
+    by = run_aggs(df, {"p": {"terms": {"field": "p", "missing": "none"}, "aggs": {"k": agg}}})["p>k"].orderBy("p", "k").collect()
+    assert [(x["p"], x["min"], x["max"], x["doc_count"]) for x in by] == [(p, *x) for p in ("a", "none") for x in want]
+
+
+def test_variable_width_sets_nan_apart(spark):
+    df = spark.createDataFrame(list(enumerate([1.0, 2.0, 10.0, 11.0, 30.0, float("nan"), float("nan")])), "_id int, v double")
+    r = run_aggs(df, {"k": {"variable_width_histogram": {"field": "v", "buckets": 4}}})["k"].orderBy("min").collect()
+    assert [x["doc_count"] for x in r if x["min"] is not None and x["min"] == x["min"]] == [2, 2, 1] and sum(x["doc_count"] for x in r) == 7
+
+
+def test_variable_width_groups_have_equal_weight(spark):
+    rows = [(i, float(i)) for i in range(6001) for _ in range(1 + i % 3)]
+    per, got, weight = -(-len(rows) // 5000), [], 0
+    for i in range(6001):
+        weight += 1 + i % 3
+        if weight >= per or i == 6000:
+            got.append(weight)
+            weight = 0
+    k = run_aggs(spark.createDataFrame(rows, "_id int, v double"), {"k": {"variable_width_histogram": {"field": "v", "buckets": 100}}})["k"].orderBy("k").collect()
+    ends = {sum(got[: n + 1]) for n in range(len(got))}
+    assert len(k) == 100 and {sum(x["doc_count"] for x in k[: n + 1]) for n in range(100)} <= ends
+
+
 def test_auto_date(spark):
     d = [datetime(2020, 3, 1), datetime(2020, 3, 2), datetime(2020, 3, 8), datetime(2020, 3, 9)]
     df = spark.createDataFrame(list(enumerate(d)), "_id int, d timestamp_ntz")
