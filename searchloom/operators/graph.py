@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from searchloom.functions.text import standard
+from searchloom.lookup import lookup_join
+from searchloom.scratch import materialize
 
-FRONTIER, MAX_EDGES = 4096, 100_000
+MAX_EDGES = 100_000
 
 
 def alive(as_of: str | None) -> Column:
@@ -18,11 +20,11 @@ def alive(as_of: str | None) -> Column:
     return (F.col("valid_at") <= t) & (F.col("invalid_at").isNull() | (F.col("invalid_at") > t))
 
 
-def expand(edges: DataFrame, seeds: DataFrame, hops: int = 1, direction: str = "out", types: list[str] | None = None, as_of: str | None = None, frontier: int = FRONTIER) -> DataFrame:
+def expand(edges: DataFrame, seeds: DataFrame, hops: int = 1, direction: str = "out", types: list[str] | None = None, as_of: str | None = None) -> DataFrame:
     """Edges within ``hops`` of the seeds (column ``node``), each once with the first hop that reaches it.
 
-    Repeated edges count once; null weights are 0. Of a hop's new nodes at most ``frontier`` go on, in the order of their names;
-    the seeds of a search are few, so the frontier is broadcast and the edges are only filtered.
+    Repeated edges count once; null weights are 0. All seeds and all new nodes of a hop go on. A hop's nodes are counted first: if few,
+    they are broadcast and the edges are only filtered, else they are joined with a hub's edges spread.
     """
     if hops not in (1, 2) or direction not in ("out", "in", "both"):
         raise ValueError("hops must be 1 or 2 and direction out, in or both")
@@ -31,20 +33,15 @@ def expand(edges: DataFrame, seeds: DataFrame, hops: int = 1, direction: str = "
         live = live.where(F.col("edge_type").isin(types))
     live = live.withColumn("weight", F.coalesce("weight", F.lit(0.0)))
     seen = seeds.select("node").where("node is not null").distinct()
-    now, out = seen.orderBy("node").limit(frontier), None
+    ways = [w for w, d in ((("src", "dst"), "out"), (("dst", "src"), "in")) if direction in (d, "both")]
+    ends = live.withColumn("__e", F.explode(F.array(*[F.struct(F.col(a).alias("__from"), F.col(b).alias("__to")) for a, b in ways]))).select(*live.columns, "__e.*")
+    now, out = seen, None
     for hop in range(1, hops + 1):
-        f = F.broadcast(now)
-        steps = []
-        if direction in ("out", "both"):
-            steps.append(live.join(f, live["src"] == f["node"], "left_semi").withColumn("__to", F.col("dst")))
-        if direction in ("in", "both"):
-            steps.append(live.join(f, live["dst"] == f["node"], "left_semi").withColumn("__to", F.col("src")))
-        hit = steps[0] if len(steps) == 1 else steps[0].unionByName(steps[1])
-        hit = hit.withColumn("hop", F.lit(hop))
+        hit = lookup_join(ends, now.withColumnRenamed("node", "__from"), ["__from"]).drop("__from").withColumn("hop", F.lit(hop))
         out = hit if out is None else out.unionByName(hit)
         if hop < hops:
-            new = hit.select(F.col("__to").alias("node")).distinct().join(seen, "node", "left_anti")
-            now = new.orderBy("node").limit(frontier)
+            new = hit.select(F.col("__to").alias("node")).where("node is not null").distinct()
+            now = materialize(new.join(seen, "node", "left_anti"), "frontier")
     w = Window.partitionBy("edge_id").orderBy("hop", F.desc("weight"), "src", "dst", "valid_at")
     return out.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r", "__to")
 

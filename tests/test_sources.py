@@ -136,6 +136,16 @@ def test_graph(spark):
     assert graph.expand(e.limit(0), seeds, 2).count() == 0
 
 
+@pytest.mark.parametrize("n", [5000, 60_000])
+def test_expansion_takes_the_whole_frontier(spark, n):
+    hub = spark.range(n).selectExpr("'a' || id edge_id", "'hub' src", "'n' || id dst")
+    rest = spark.range(n).selectExpr("'b' || id edge_id", "'n' || id src", "'m' || id dst")
+    e = hub.unionByName(rest).selectExpr("*", "'l' edge_type", "1.0D weight", "timestamp_ntz'2024-01-01' valid_at", "cast(null as timestamp_ntz) invalid_at")
+    count = lambda seeds, *how: {r["hop"]: r["count"] for r in graph.expand(e, seeds, *how).groupBy("hop").count().collect()}
+    assert count(spark.createDataFrame([("hub",)], "node string"), 2) == {1: n, 2: n}
+    assert count(spark.range(n).selectExpr("'n' || id node"), 1, "both") == {1: 2 * n}
+
+
 def test_shared_terms_are_the_repeated_ones(spark):
     rare = {d: " ".join(f"rare{i:02}" for i in range(30) if (i % 2 == 0) == (d == "b")) for d in ("b", "c")}
     rows = [("a", "topic topic theme theme " + " ".join(f"rare{i:02}" for i in range(30))), ("b", rare["b"]), ("c", rare["c"])]
