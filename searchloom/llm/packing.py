@@ -1,9 +1,9 @@
 """Packing of variable-length examples into containers under several limits at once.
 
 A container holds at most ``capacity`` tokens, ``max_segments`` pieces and ``max_loss`` loss-bearing tokens (all tokens
-of a piece but its first, which nothing precedes). Containers are filled one at a time: of the pieces that still fit,
+of a piece but its first, which nothing precedes, unless a column has their number). Containers are filled one at a time: of the pieces that still fit,
 the one whose demand vector has the largest dot product with the vector of remaining room, both as shares of the
-limits, goes in next. Pieces of one size are interchangeable, so the choice is made among sizes, not among pieces.
+limits, goes in next. Pieces of one size and loss are interchangeable, so the choice is made among those, not among pieces.
 
 Pieces are spread over groups of bounded size that are packed in parallel; the worst-filled containers of each group are
 opened again and their pieces packed together, in fewer groups, until one group is left. So what is lost is about one
@@ -31,13 +31,14 @@ GROUP_TOKENS, GROUP_PIECES = 4_000_000, 250_000
 REOPEN, FULL = 8, 0.995
 
 
-def pack_group(sizes: np.ndarray, capacity: int, max_segments: int, max_loss: int) -> np.ndarray:
-    """The container number of each piece, counted from 0. Every size is between 1 and ``capacity``."""
+def pack_group(sizes: np.ndarray, capacity: int, max_segments: int, max_loss: int, loss: np.ndarray | None = None) -> np.ndarray:
+    """The container number of each piece, counted from 0. Every size is between 1 and ``capacity``, every loss at most ``max_loss``."""
     n = len(sizes)
-    order = np.argsort(sizes, kind="stable")
-    kinds, first, left = np.unique(sizes[order], return_index=True, return_counts=True)
+    loss = np.maximum(sizes - 1, 0) if loss is None else loss
+    order = np.lexsort((loss, sizes))
+    kinds, first, left = np.unique(np.stack([sizes[order], loss[order]], axis=1), axis=0, return_index=True, return_counts=True)
+    kinds, loss = np.ascontiguousarray(kinds.T)
     left, first = left.copy(), first.copy()
-    loss = np.maximum(kinds - 1, 0)
     limits = np.array([capacity, max_segments, max_loss], dtype=np.float64)
     need = np.stack([kinds, np.ones_like(kinds), loss], axis=1) / limits
     out = np.empty(n, dtype=np.int64)
@@ -62,25 +63,30 @@ def pack_group(sizes: np.ndarray, capacity: int, max_segments: int, max_loss: in
     return out
 
 
-def pack(sizes: DataFrame, size: str = "n_tokens", keys: list[str] | None = None, capacity: int = 2048, max_segments: int | None = None, max_loss: int | None = None) -> DataFrame:
+def pack(sizes: DataFrame, size: str = "n_tokens", keys: list[str] | None = None, capacity: int = 2048, max_segments: int | None = None, max_loss: int | None = None, loss: str | None = None) -> DataFrame:
     """``keys``, ``piece``, ``first_token``, ``n_tokens``, ``container``, ``slot`` and ``start`` for every piece.
 
     ``piece`` numbers the pieces of a row from 0, ``first_token`` is where it begins in the row; ``slot`` is the piece's
     number in its container and ``start`` its first place there. ``sizes`` should be a written table: it is read for
-    the total and for the packing. Only keys and sizes travel, never texts.
+    the total and for the packing. Only keys and sizes travel, never texts. The column ``loss`` has the number of a row's
+    loss-bearing tokens, its last ones (a prompt comes before its answer); a null means all but the first.
     """
     keys = keys or ["doc_id"]
     max_segments = max_segments or capacity
     max_loss = max_loss or capacity
-    if min(capacity, max_segments) < 1 or max_loss < capacity - 1:
+    if min(capacity, max_segments) < 1 or max_loss < (capacity - 1 if loss is None else 0):
         raise ValueError("a piece of full size must fit into an empty container")
     cap = F.lit(capacity)
-    rows = sizes.where(F.col(size) > 0).select(*[F.col(f"`{k}`").alias(f"__k{i}") for i, k in enumerate(keys)], F.col(f"`{size}`").cast("bigint").alias("__n"))
+    rows = sizes.where(F.col(size) > 0).select(*[F.col(f"`{k}`").alias(f"__k{i}") for i, k in enumerate(keys)], F.col(f"`{size}`").cast("bigint").alias("__n"), *([F.col(f"`{loss}`").cast("bigint").alias("__l")] if loss else []))
     rows = rows.withColumn("__row", F.monotonically_increasing_id())
     cut = rows.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("__n") - 1) / cap))))
-    cut = cut.select(*[f"__k{i}" for i in range(len(keys))], "__row", "piece", (F.col("piece") * cap).alias("first_token"), F.least(cap, F.col("__n") - F.col("piece") * cap).cast("bigint").alias("n_tokens"))
+    end = F.least(F.col("__n"), (F.col("piece") + 1) * cap)
+    bears = [F.greatest(F.lit(0), F.least(end - F.col("piece") * cap - 1, F.coalesce(F.col("__l"), F.col("__n")) - (F.col("__n") - end))).alias("__loss")] if loss else []
+    cut = cut.select(*[f"__k{i}" for i in range(len(keys))], "__row", "piece", (F.col("piece") * cap).alias("first_token"), F.least(cap, F.col("__n") - F.col("piece") * cap).cast("bigint").alias("n_tokens"), *bears)
     pieces = materialize(cut, "pack-pieces")
-    total, n = pieces.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.count("*")).first()
+    total, n, most = pieces.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.count("*"), F.max("__loss") if loss else F.lit(0)).first()
+    if (most or 0) > max_loss:
+        raise ValueError(f"a piece of {most} loss-bearing tokens must fit into an empty container")
     groups = max(1, -(-total // GROUP_TOKENS), -(-n // GROUP_PIECES))
     todo, kept, level = pieces, None, 0
     schema = T.StructType([*pieces.schema, T.StructField("container", T.LongType()), T.StructField("__open", T.BooleanType())])
@@ -89,7 +95,7 @@ def pack(sizes: DataFrame, size: str = "n_tokens", keys: list[str] | None = None
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = pdf.sort_values(["__row", "piece"], kind="stable").reset_index(drop=True)
             n = pdf["n_tokens"].to_numpy()
-            box = pack_group(n, capacity, max_segments, max_loss)
+            box = pack_group(n, capacity, max_segments, max_loss, pdf["__loss"].to_numpy() if loss else None)
             fill = np.bincount(box, weights=n)
             worst = np.argsort(fill, kind="stable")[:REOPEN]
             again = np.zeros(len(fill), dtype=bool)

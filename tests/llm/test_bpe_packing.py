@@ -126,3 +126,20 @@ def test_group_packing_is_tight():
 def test_size_that_never_fits_is_refused(spark):
     with pytest.raises(ValueError):
         packing.pack(spark.createDataFrame([(1, 5)], "doc_id long, n_tokens int"), max_loss=100)
+
+
+def test_binding_loss_limit(spark):
+    df = spark.createDataFrame([(i, 10, 8 if i % 2 else 0) for i in range(200)] + [(999, 250, 120)], "doc_id long, n_tokens int, answer int")
+    rows = packing.pack(df, capacity=100, max_loss=99, loss="answer").collect()
+    bears = {(i, 0): 8 * (i % 2) for i in range(200)} | {(999, 0): 0, (999, 1): 70, (999, 2): 49}  # the answer is the last 120 of 250; a piece's first bears none
+    assert sorted((r["doc_id"], r["piece"]) for r in rows) == sorted(bears)
+    tight = packing.pack(df, capacity=100, max_loss=70, loss="answer").collect()
+    assert sorted((r["doc_id"], r["piece"]) for r in tight) == sorted(bears)
+    for packed, limit in ((rows, 99), (tight, 70)):
+        for c in {r["container"] for r in packed}:
+            own = [r for r in packed if r["container"] == c]
+            assert sum(r["n_tokens"] for r in own) <= 100 and sum(bears[r["doc_id"], r["piece"]] for r in own) <= limit
+    with pytest.raises(ValueError):
+        packing.pack(df, capacity=100, max_loss=69, loss="answer")
+    answers = df.where("answer = 8")
+    assert len({r["container"] for r in packing.pack(answers, capacity=100, max_loss=16, loss="answer").collect()}) == 50
