@@ -156,7 +156,7 @@ def nearest(df: DataFrame, vector: str = "embedding", key: str = "id", dim: int
     n = index.count()
     empty = spark.createDataFrame([], "__q bigint, __nv bigint, similarity double")
     if n > 1:
-        found = _search(index.select("__v", "__u"), n, dim, k, min_similarity, tables, probes, bucket)
+        found = _search(index.select("__v", "__u", F.element_at("__ids", 1).alias("__f")), n, dim, k, min_similarity, tables, probes, bucket)
     else:
         found = empty
     # From directions to ids: the direction's own ids come first, each neighbour brings its smallest ids.
@@ -185,7 +185,7 @@ def _search(index: DataFrame, n: int, dim: int, k: int, floor: float, tables: in
         for whole in batches:
             for at in range(0, len(whole), 4096):
                 pdf = whole.iloc[at : at + 4096]
-                ids = pdf["__v"].to_numpy()
+                ids, smallest = pdf["__v"].to_numpy(), pdf["__f"].to_numpy()
                 x = np.array(pdf["__u"].tolist(), dtype=np.float64).reshape(-1, dim)
                 every = np.arange(len(ids))
                 parts: list[tuple[np.ndarray, np.ndarray, bool]] = []  # group, row, is a query
@@ -212,16 +212,16 @@ def _search(index: DataFrame, n: int, dim: int, k: int, floor: float, tables: in
                         # One number names bucket and block. Should two agree, their vectors are compared together, which changes no result.
                         parts.append(((code[rep] * lsh.tables + t) ^ (block << 40), rows[rep], query))
                 rows = np.concatenate([p[1] for p in parts])
-                made = pd.DataFrame({"g": np.concatenate([p[0] for p in parts]), "v": ids[rows], "is_query": np.concatenate([np.full(len(p[1]), p[2]) for p in parts])})
+                made = pd.DataFrame({"g": np.concatenate([p[0] for p in parts]), "v": ids[rows], "f": smallest[rows], "is_query": np.concatenate([np.full(len(p[1]), p[2]) for p in parts])})
                 for j in range(dim):
                     made[f"x{j}"] = x[rows, j]
                 yield made
 
     names = [f"x{j}" for j in range(dim)]
 
-    def compare(x: np.ndarray, v: np.ndarray, asked: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    def compare(x: np.ndarray, v: np.ndarray, f: np.ndarray, asked: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """The k best vectors of each query of one group, in blocks of queries."""
-        data, data_v, query, query_v = x[~asked], v[~asked], x[asked], v[asked]
+        data, data_v, data_f, query, query_v = x[~asked], v[~asked], f[~asked], x[asked], v[asked]
         if not len(data):
             return
         for at in range(0, len(query), 1024):
@@ -234,18 +234,18 @@ def _search(index: DataFrame, n: int, dim: int, k: int, floor: float, tables: in
             else:
                 keep = sim >= max(floor, -1.5)
             i, j = np.nonzero(keep)
-            yield ids[i], data_v[j], sim[i, j]
+            yield ids[i], data_v[j], data_f[j], sim[i, j]
 
     def groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Groups of rows sorted by ``g``; one that reaches over the end of a batch waits for the next."""
         rest = None
 
         def found(pdf: pd.DataFrame) -> pd.DataFrame:
-            g, x, v, asked = pdf["g"].to_numpy(), pdf[names].to_numpy(), pdf["v"].to_numpy(), pdf["is_query"].to_numpy()
+            g, x, v, f, asked = pdf["g"].to_numpy(), pdf[names].to_numpy(), pdf["v"].to_numpy(), pdf["f"].to_numpy(), pdf["is_query"].to_numpy()
             ends = np.flatnonzero(np.concatenate([g[1:] != g[:-1], [True]])) + 1
-            parts = [p for a, b in zip([0, *ends[:-1]], ends) for p in compare(x[a:b], v[a:b], asked[a:b])]
-            q, n, s = (np.concatenate(c) for c in zip(*parts)) if parts else ([], [], [])
-            return pd.DataFrame({"__q": q, "__nv": n, "similarity": s})
+            parts = [p for a, b in zip([0, *ends[:-1]], ends) for p in compare(x[a:b], v[a:b], f[a:b], asked[a:b])]
+            q, n, first, s = (np.concatenate(c) for c in zip(*parts)) if parts else ([], [], [], [])
+            return pd.DataFrame({"__q": q, "__nv": n, "__f": first, "similarity": s})
 
         for pdf in batches:
             pdf = pdf if rest is None else pd.concat([rest, pdf])
@@ -258,12 +258,12 @@ def _search(index: DataFrame, n: int, dim: int, k: int, floor: float, tables: in
             yield found(rest)
 
     axes = ", ".join(f"{c} double" for c in names)
-    routed = index.mapInPandas(route, f"g bigint, v bigint, is_query boolean, {axes}")
+    routed = index.mapInPandas(route, f"g bigint, v bigint, f bigint, is_query boolean, {axes}")
     # Groups are many and small, so they are streamed through a task in order rather than handed over one by one.
-    pairs = routed.repartition("g").sortWithinPartitions("g").mapInPandas(groups, "__q bigint, __nv bigint, similarity double")
-    best = pairs.groupBy("__q", "__nv").agg(F.max("similarity").alias("similarity"))
-    w = Window.partitionBy("__q").orderBy(F.desc("similarity"), "__nv")
-    return best.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= k).drop("__r")
+    pairs = routed.repartition("g").sortWithinPartitions("g").mapInPandas(groups, "__q bigint, __nv bigint, __f bigint, similarity double")
+    best = pairs.groupBy("__q", "__nv").agg(F.max("similarity").alias("similarity"), F.min("__f").alias("__f"))
+    w = Window.partitionBy("__q").orderBy(F.desc("similarity"), "__f", "__nv")  # a direction of smaller ids first
+    return best.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= k).drop("__r", "__f")
 
 
 def similar_pairs(df: DataFrame, vector: str = "embedding", key: str = "id", dim: int = 8, k: int = 10, min_similarity: float = 0.997, **how) -> DataFrame:

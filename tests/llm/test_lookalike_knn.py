@@ -110,3 +110,13 @@ def test_small_tables(spark):
     assert knn.nearest(vectors(spark, [1], np.ones((1, 8)))).count() == 0
     two = knn.nearest(vectors(spark, [1, 2], np.ones((2, 8)))).collect()
     assert sorted((r["id"], r["neighbour"]) for r in two) == [(1, 2), (2, 1)]
+
+
+def test_ties_at_the_last_place_go_to_smaller_ids(spark):
+    x = np.concatenate([np.eye(8), -np.eye(8)])  # each is at a right angle to 14 others
+    got = {}
+    for r in knn.nearest(vectors(spark, range(1, 17), x), k=3).collect():
+        got.setdefault(r["id"], []).append((r["rank"], r["neighbour"]))
+    for i in range(1, 17):
+        want = [j for j in range(1, 17) if j % 8 != i % 8][:3]
+        assert [n for _, n in sorted(got[i])] == want
