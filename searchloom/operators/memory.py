@@ -10,7 +10,7 @@ from searchloom.plans.search import search
 
 
 def store(notes: DataFrame, new: DataFrame, key: str = "id", vector: str = "embedding", similarity: float = 0.95) -> DataFrame:
-    """Notes and those of the new ones (a batch of some size) that are like none stored: the batch is compared in blocks with all notes."""
+    """Notes and those of the new ones (a batch of some size) that are like none stored and like no earlier one kept of the batch, by key: the batch is compared in blocks with all notes, and with itself."""
     old = notes.select(F.col(vector).alias("__o"))
     # The batch is the stated query set; it is small next to the notes and sent to them after its size is checked.
     from searchloom.lookup import is_small
@@ -18,7 +18,20 @@ def store(notes: DataFrame, new: DataFrame, key: str = "id", vector: str = "embe
     batch = new.select(F.col(key).alias("__k"), F.col(vector).alias("__q"))
     batch = F.broadcast(batch) if is_small(batch, 10_000) else batch
     like = old.join(batch, vectors.cosine("__o", "__q") >= similarity).select("__k").distinct()
-    return notes.unionByName(new.join(like, new[key] == like["__k"], "left_anti"))
+    fresh = new.join(like, new[key] == like["__k"], "left_anti")
+    one, two = (fresh.select(F.col(key).alias(k), F.col(vector).alias(v)) for k, v in (("__a", "__x"), ("__b", "__y")))
+    pairs = one.join(two, (F.col("__a") < F.col("__b")) & (vectors.cosine("__x", "__y") >= similarity)).select("__a", "__b")
+    copies = pairs.groupBy(F.lit("all").alias("__all")).applyInPandas(_copies, fresh.select(F.col(key).alias("__c")).schema)
+    return notes.unionByName(fresh.join(copies, fresh[key] == copies["__c"], "left_anti"))
+
+
+def _copies(pairs):
+    """The notes that are like an earlier one that is kept itself, in the order of keys; gets the like pairs (__a < __b) only."""
+    gone = set()
+    for a, b in pairs.sort_values(["__b", "__a"]).itertuples(index=False, name=None):
+        if a not in gone:
+            gone.add(b)
+    return pairs[["__b"]].drop_duplicates().loc[lambda p: p["__b"].isin(gone)].rename(columns={"__b": "__c"})
 
 
 def _scaled(c: str, w) -> F.Column:

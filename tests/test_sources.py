@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import gzip
 import json
+import math
 import random
 import sqlite3
 import zipfile
@@ -184,6 +185,13 @@ def test_memory(spark):
     assert sorted(r["id"] for r in memory.store(notes, new).collect()) == [1, 3]
 
 
+def test_memory_stores_no_near_copies_of_a_batch(spark):
+    notes = spark.createDataFrame([(1, [0.0, 0.0, 1.0])], "id int, embedding array<double>")
+    turned = lambda d: [math.cos(math.radians(d)), math.sin(math.radians(d)), 0.0]
+    new = spark.createDataFrame([(2, turned(0)), (3, turned(15)), (4, turned(30)), (5, turned(90)), (6, turned(91)), (7, [0.0, 0.01, 1.0])], "id int, embedding array<double>")
+    assert sorted(r["id"] for r in memory.store(notes, new).collect()) == [1, 2, 4, 5]  # 4 is like 3 only, which isn't kept
+
+
 def test_embedder_and_chunker(spark):
     v = embed.embed_text("Hello world", 32)
     assert abs(sum(x * x for x in v) - 1) < 1e-9 and embed.embed_text("", 8) == [0.0] * 8
