@@ -51,13 +51,16 @@ def test_pairs(spark):
     assert forms[2] == "paypal" and forms[5] is None and forms[6] == "" and forms[8] == ""
 
 
-def brute(ids, x, k, floor=-1.0):
+def brute(ids, x, k):
+    """The k most similar others of every id, ties to the smaller id."""
+    ids, x = np.asarray(ids), np.asarray(x, dtype=float)
     u = x / np.linalg.norm(x, axis=1)[:, None]
-    c = np.round(u @ u.T, 10)
+    s = np.round(u @ u.T, 12)
+    np.fill_diagonal(s, -2.0)
     out = {}
-    for i in range(len(ids)):
-        order = sorted((j for j in range(len(ids)) if j != i and c[i, j] >= floor), key=lambda j: (-c[i, j], ids[j]))[:k]
-        out[ids[i]] = [ids[j] for j in order]
+    for i, row in enumerate(s):
+        few = np.flatnonzero(row >= np.partition(row, max(len(row) - k, 0))[max(len(row) - k, 0)])
+        out[int(ids[i])] = [int(j) for j in ids[few[np.lexsort((ids[few], -row[few]))]][:k]]
     return out
 
 
@@ -120,3 +123,49 @@ def test_ties_at_the_last_place_go_to_smaller_ids(spark):
     for i in range(1, 17):
         want = [j for j in range(1, 17) if j % 8 != i % 8][:3]
         assert [n for _, n in sorted(got[i])] == want
+
+
+def clustered(n: int, seed: int = 5):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(40, 8))
+    x = (centres[rng.integers(0, 40, n)] + 0.15 * rng.normal(size=(n, 8))).astype(np.float32).astype(float)
+    return rng.permutation(10 * n)[:n], x
+
+
+@pytest.mark.parametrize("most", [200_000, 700])
+def test_a_small_sample_keeps_recall_and_sends_no_more(spark, monkeypatch, most):
+    """A sample in which a cell of 200 vectors is less than one vector wide; with ``most`` also the grids of blocks."""
+    monkeypatch.setattr(knn, "SAMPLE", 60)
+    monkeypatch.setattr(knn, "CELL_MOST", most)
+    ids, x = clustered(6000)
+    df = vectors(spark, ids, x)
+    got = {}
+    for r in knn.nearest(df, cell=200, bucket=100).collect():
+        got.setdefault(r["id"], {})[r["rank"]] = r["neighbour"]
+    assert all(sorted(v) == list(range(1, 11)) for v in got.values()) and len(got) == len(ids)
+    want = brute(ids.tolist(), x, 10)
+    assert sum(len(set(want[i]) & set(got[i].values())) for i in want) / sum(map(len, want.values())) >= 0.9
+
+
+@pytest.mark.parametrize("n", [3000, 6000])
+def test_messages_grow_with_the_table(n):
+    """Whatever n over the sample is, a vector is sent to at most tables x (1 + probes) cells, and the nodes stay bounded."""
+    x = knn.unit(clustered(n)[1])
+    tree = knn.CellTree(x[:60], knn.Rotations(8, 7), n / 60, 200, knn.LEAST)
+    assert len(tree.child) <= knn.CellTree.node_bound(60, knn.LEAST)
+    row, cell, own = tree.probe(x, 1)
+    assert len(row) <= 2 * n and own.sum() == n
+
+
+def test_an_id_with_two_vectors_and_many_copies(spark):
+    e = [[float(i == j) for j in range(8)] for i in range(8)]
+    rows = [(1, e[0]), (1, e[1]), (2, e[1]), (3, e[1]), *[(100 + i, e[2]) for i in range(40)]]
+    df = spark.createDataFrame(rows, "id long, embedding array<float>")
+    got = {}
+    for r in knn.nearest(df, k=3).collect():
+        got.setdefault(r["id"], []).append((r["rank"], r["neighbour"]))
+    # Of the two vectors of id 1 the one with the smaller bytes counts: that of ids 2 and 3.
+    assert {i: [n for _, n in sorted(v)] for i, v in got.items() if i < 4} == {1: [2, 3, 100], 2: [1, 3, 100], 3: [1, 2, 100]}
+    assert all(len(v) == 3 for v in got.values()) and len(got) == 43
+    assert [n for _, n in sorted(got[139])] == [100, 101, 102]
+    assert [n for _, n in sorted(got[100])] == [101, 102, 103]
