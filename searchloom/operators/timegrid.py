@@ -22,8 +22,8 @@ from searchloom.functions.timeutil import epoch_micros, floor_div
 from searchloom.lookup import lookup_join
 from searchloom.scratch import materialize
 
-#: Cells of one chunk.
-CHUNK_CELLS = 4096
+#: Cells of one chunk, and chunks of one span; a window sorts the chunks of one span, or the spans of one source.
+CHUNK_CELLS, SPAN_CHUNKS = 4096, 4096
 
 
 def _steps(sources: DataFrame, source: str, step_s: str) -> DataFrame:
@@ -32,6 +32,16 @@ def _steps(sources: DataFrame, source: str, step_s: str) -> DataFrame:
     return s.groupBy(F.col(f"`{source}`").alias("__s")).agg((F.min(f"`{step_s}`").cast("bigint") * 1_000_000).alias("__step"))
 
 
+def _with_next(chunks: DataFrame) -> DataFrame:
+    """``__next``: the source's next chunk. It is looked for within a span of chunks first, then among the first ones of the source's spans."""
+    chunks = chunks.withColumn("__span", floor_div(F.col("__chunk"), F.lit(SPAN_CHUNKS).cast("bigint")))
+    spans = chunks.groupBy("__s", "__span").agg(F.min("__chunk").alias("__first"))
+    spans = spans.withColumn("__after", F.lead("__first").over(Window.partitionBy("__s").orderBy("__span"))).drop("__first")
+    within = F.lead("__chunk").over(Window.partitionBy("__s", "__span").orderBy("__chunk"))
+    chunks = chunks.withColumn("__next", within).join(spans, ["__s", "__span"])
+    return chunks.withColumn("__next", F.coalesce("__next", "__after")).drop("__span", "__after")
+
+
 def regular_grid(readings: DataFrame, sources: DataFrame, source: str = "geraet", time: str = "zeitpunkt", value: str = "temperatur_c", step_s: str = "takt_s", hold_cells: float = 2.0) -> DataFrame:
     """One row per source and cell between the source's first and last reading.
 
@@ -49,8 +59,7 @@ def regular_grid(readings: DataFrame, sources: DataFrame, source: str = "geraet"
     points = materialize(points.withColumn("__chunk", floor_div(slot, F.lit(CHUNK_CELLS).cast("bigint"))), "grid-points")
 
     last = points.groupBy("__s", "__step", "__chunk").agg(F.max(F.struct("__us", "__v")).alias("__last"))
-    w = Window.partitionBy("__s").orderBy("__chunk")
-    last = last.withColumn("__next", F.lead("__chunk").over(w))
+    last = _with_next(last)
     length = F.lit(CHUNK_CELLS) * F.col("__step")
     # The end of every chunk: where its last interval stops. The last chunk ends with the cell of the last reading.
     final_end = (floor_div(F.col("__last.__us"), F.col("__step")) + 1) * F.col("__step")
