@@ -6,9 +6,12 @@ whether it breaks a physical bound, which forces the state. The source's normal
 quantile of its own residuals, so noise, swing and regular switching all widen it) and the chance of a repeat (from
 its short runs). Forward-backward probabilities then decide on each reading.
 
-A source's readings are cut into chunks in time and a chunk is one row. The forward and backward messages that enter a
-chunk are products of the chunks' 4 x 4 transfer matrices, so the recursion is exact up to the last ``REACH`` chunks,
-longer than the model remembers, and no task ever holds a whole source.
+The readings are ordered by source and time over range partitions, so a source with a third of them, or one reading
+that was delivered that often, is spread over many. Each partition cuts its readings into chunks of at most ``CHUNK``
+distinct ones, however they lie in time, and a chunk is one row. What crosses a partition's border (the readings beside
+it, the messages) is worked out on the driver from a bounded piece per partition. The forward and backward messages that
+enter a chunk are products of 4 x 4 transfer matrices in two levels: over a partition's chunks in a task, over the
+partitions on the driver. So the recursion is exact however long a source is, and no task holds a whole source.
 
 Defined results: rows without source or time and null or NaN values are no readings and never flagged; readings of one
 source with the same time and value are one reading and are flagged together; a source with few readings is judged by
@@ -22,15 +25,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from searchloom.functions.timeutil import epoch_micros, floor_div
-from searchloom.lookup import lookup_join
+from searchloom.functions.timeutil import epoch_micros
+from searchloom.lookup import is_small, lookup_join
 from searchloom.scratch import materialize
 
-#: Readings of a chunk on average, readings on either side that a residual looks at, chunks a message comes from.
-CHUNK, SIDE, REACH = 4096, 7, 8
+#: Readings of a chunk at most, readings on either side that a residual looks at.
+CHUNK, SIDE = 4096, 7
 #: A pause of more than so many usual distances cuts the series.
 PAUSE = 8.0
 #: Below absolute zero, and above what any contact thermometer reads.
@@ -190,49 +195,181 @@ def _histogram(r: np.ndarray) -> dict[int, int]:
     return dict(zip(kinds.tolist(), counts.tolist()))
 
 
+def _cut(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Readings (s, us, v) in order, to chunks of at most ``most`` distinct ones with the readings on either side, as far as this partition has them.
+
+    ``edge`` has 1 for the first and 2 for the last chunk of the partition, with 4 if the whole partition is of one source.
+    """
+    task = TaskContext.get()
+    part, side = task.partitionId() if task else 0, SIDE + 1
+    source, us, v = None, np.zeros(0, dtype=np.int64), np.zeros(0)
+    before, number, runs, rows = (us, v), 0, 0, []
+
+    def take(n: int) -> None:
+        nonlocal us, v, before, number
+        rows.append((source, part, number, us[:n], v[:n], *before, us[n : n + side], v[n : n + side]))
+        before = (us[max(0, n - side) : n], v[max(0, n - side) : n])
+        us, v, number = us[n:], v[n:], number + 1
+
+    def made(last: bool) -> pa.RecordBatch:
+        names = ["__s", "pid", "idx", "us", "v", "us_before", "v_before", "us_after", "v_after"]
+        kinds = [pa.string(), pa.int32(), pa.int32(), *[pa.list_(pa.int64()), pa.list_(pa.float64())] * 3]
+        edge = [(r[2] == 0) + (2 if last and i == len(rows) - 1 else 0) for i, r in enumerate(rows)]
+        edge = [e + (4 if e & 2 and runs == 1 else 0) for e in edge]
+        return pa.record_batch([*[pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], pa.array(edge, pa.int32())], names=[*names, "edge"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        codes = batch.column(0).dictionary_encode()
+        name, code = codes.dictionary, np.asarray(codes.indices)
+        t, x = np.asarray(batch.column(1)), np.asarray(batch.column(2))
+        begin = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
+        for lo, hi in zip(begin, np.append(begin[1:], len(code))):
+            s = name[int(code[lo])].as_py()
+            if s != source:
+                while len(us):
+                    take(min(most, len(us)))
+                source, before, runs = s, (np.zeros(0, dtype=np.int64), np.zeros(0)), runs + 1
+            a, c = t[lo:hi], x[lo:hi]
+            last = (us[-1], v[-1]) if len(us) else (before[0][-1], before[1][-1]) if len(before[0]) else (None, None)
+            new = np.append((a[0], c[0]) != last, (a[1:] != a[:-1]) | (c[1:] != c[:-1]))
+            us, v = np.append(us, a[new]), np.append(v, c[new])
+            while len(us) >= most + side:
+                take(most)
+        if len(rows) > 64:  # the last one waits, as it may be the partition's last
+            wait, rows = rows[-1:], rows[:-1]
+            yield made(False)
+            rows = wait
+    while len(us):
+        take(min(most, len(us)))
+    if rows:
+        yield made(True)
+
+
+def _borders(edges: list) -> dict[int, tuple]:
+    """What lies beside each partition: the readings of its first source before it, those of its last source after it, and whether its first reading is the copy of one before it.
+
+    ``edges`` has one or two rows per partition: its first and its last chunk, cut to ``SIDE`` + 2 readings at each end.
+    """
+    parts: dict[int, dict] = {}
+    for e in edges:
+        p = parts.setdefault(e["pid"], {})
+        if e["edge"] & 1:
+            p["first"], p["head"] = e["__s"], list(zip(e["us_head"], e["v_head"]))
+        if e["edge"] & 2:
+            p["last"], p["tail"] = e["__s"], list(zip(e["us_tail"], e["v_tail"]))
+            p["single"] = bool(e["edge"] & 4)
+            p["length"] = e["length"] if e["idx"] == 0 else SIDE + 2  # of its last chunk, if that is all there is of the source
+    side, out = SIDE + 1, {}
+    source, near = None, []
+    for pid in sorted(parts):
+        p = parts[pid]
+        before = near if source == p["first"] else []
+        p["copy"] = bool(before) and before[-1] == p["head"][0]
+        p["before"] = before
+        tail = p["tail"]
+        if p["copy"]:
+            p["head"] = p["head"][1:]
+            if p["single"] and p["length"] <= len(tail):
+                tail = tail[1:]
+        near = ([*before, *tail] if p["single"] else tail)[-side:]
+        source = p["last"]
+    source, near = None, []
+    for pid in sorted(parts, reverse=True):
+        p = parts[pid]
+        after = near if source == p["last"] else []
+        out[pid] = (p["before"], after, p["copy"])
+        near = ([*p["head"], *after] if p["single"] else p["head"])[:side]
+        source = p["first"]
+    return out
+
+
+def _scan(rows: list) -> tuple[dict[int, np.ndarray], dict[int, np.ndarray]]:
+    """The forward message that enters each partition's first source, and the backward one that enters its last, from the products of both."""
+    start, alphas, betas = np.array([1.0, 0.0, 0.0, 0.0]), {}, {}
+    rows = sorted(rows, key=lambda r: r["pid"])
+    source, x = None, start
+    for r in rows:
+        first, last = (np.array(r[c]).reshape(4, 4) for c in ("m_first", "m_last"))
+        alphas[r["pid"]] = x if source == r["s_first"] else start
+        x = _unit((alphas[r["pid"]] if r["single"] else start) @ last, 0)
+        source = r["s_last"]
+    source, x = None, np.ones(4)
+    for r in reversed(rows):
+        first = np.array(r["m_first"]).reshape(4, 4)
+        betas[r["pid"]] = x if source == r["s_last"] else np.ones(4)
+        x = _unit(first @ (betas[r["pid"]] if r["single"] else np.ones(4)), 0)
+        source = r["s_first"]
+    return alphas, betas
+
+
+def _products(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The products of the matrices of a partition's first and last source, in their chunks' order."""
+    pdf = pdf.sort_values("idx")
+    s, m = pdf["__s"].to_numpy(), np.stack(pdf["m"].to_list()).reshape(-1, 4, 4)
+
+    def product(which: np.ndarray) -> np.ndarray:
+        x = np.eye(4)
+        for y in m[which]:
+            x = _unit(x @ y, (0, 1))
+        return x.ravel()
+
+    return pd.DataFrame([{"pid": pdf["pid"].iloc[0], "s_first": s[0], "s_last": s[-1], "single": bool((s == s[0]).all()), "m_first": product(s == s[0]), "m_last": product(s == s[-1])}])
+
+
 def implausible(readings: DataFrame, source: str = "geraet", time: str = "zeitpunkt", value: str = "temperatur_c", lowest: float = LOWEST, highest: float = HIGHEST) -> DataFrame:
     """``__s``, ``__us``, ``__v`` and ``state`` of the distinct readings whose likeliest state is not normal."""
+    spark = readings.sparkSession
     v = F.col(f"`{value}`").cast("double") + F.lit(0.0)
     used = readings.select(F.col(f"`{source}`").alias("__s"), epoch_micros(readings, time).alias("__us"), v.alias("__v"))
     used = used.where("__s is not null and __us is not null and __v is not null and not isnan(__v)")
-    span = used.groupBy("__s").agg(F.min("__us").alias("__a"), F.greatest(F.lit(1), floor_div(F.max("__us") - F.min("__us") + 1, F.greatest(F.lit(1), floor_div(F.count("*"), F.lit(CHUNK))))).cast("bigint").alias("__len"))
-    cut = lookup_join(used, span, ["__s"]).withColumn("__chunk", floor_div(F.col("__us") - F.col("__a"), F.col("__len")))
-    packed = cut.groupBy("__s", "__chunk").agg(F.array_sort(F.collect_set(F.struct("__us", "__v"))).alias("__p"))
-    packed = materialize(packed.select("__s", "__chunk", F.col("__p.__us").alias("us"), F.col("__p.__v").alias("v")), "hmm-chunks")
+    # The last part of the key spreads the copies of one reading; it is the same when a task is repeated.
+    order = ["__s", "__us", "__v"]
+    sorted_rows = used.withColumn("__copy", F.spark_partition_id()).repartitionByRange(*order, "__copy").sortWithinPartitions(*order).select(*order)
+    lists = "us array<bigint>, v array<double>, us_before array<bigint>, v_before array<double>, us_after array<bigint>, v_after array<double>"
+    packed = materialize(sorted_rows.mapInArrow(lambda batches, most=CHUNK: _cut(batches, most), f"__s string, pid int, idx int, {lists}, edge int"), "hmm-chunks")
 
-    w = Window.partitionBy("__s").orderBy("__chunk")
-    ends = packed.select("__s", "__chunk", *[F.slice(c, 1, SIDE + 1).alias(f"{c}_head") for c in ("us", "v")], *[F.reverse(F.slice(F.reverse(c), 1, SIDE + 1)).alias(f"{c}_tail") for c in ("us", "v")])
-    beside = [F.flatten(F.collect_list(f"{c}_{end}").over(w.rowsBetween(*rows))).alias(f"{c}_{side}") for c in ("us", "v") for end, side, rows in (("tail", "before", (-SIDE - 1, -1)), ("head", "after", (1, SIDE + 1)))]
-    edge = ends.select("__s", "__chunk", *beside)
+    ends = [F.slice(F.concat(c, f"{c}_after"), 1, SIDE + 2).alias(f"{c}_head") for c in ("us", "v")] + [F.reverse(F.slice(F.reverse(F.concat(f"{c}_before", c)), 1, SIDE + 1)).alias(f"{c}_tail") for c in ("us", "v")]
+    edges = packed.where("edge > 0").select("__s", "pid", "idx", "edge", F.size("us").alias("length"), *ends).collect()  # two rows per partition
+    beside = spark.sparkContext.broadcast(_borders(edges))
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        borders = beside.value
         for pdf in batches:
             out = []
             for c in pdf.to_dict("records"):
-                b, a = c["us_before"][-SIDE - 1 :], c["us_after"][: SIDE + 1]
-                us = np.concatenate([b, c["us"], a]).astype(np.int64)
-                x = np.concatenate([c["v_before"][-SIDE - 1 :], c["v"], c["v_after"][: SIDE + 1]]).astype(np.float64)
+                own_us, own_v = np.asarray(c["us"], dtype=np.int64), np.asarray(c["v"], dtype=np.float64)
+                b_us, b_v, a_us, a_v = (np.asarray(c[n]) for n in ("us_before", "v_before", "us_after", "v_after"))
+                before, after, copy = borders[c["pid"]]
+                if c["idx"] == 0:
+                    b_us, b_v = np.array([t for t, _ in before], dtype=np.int64), np.array([x for _, x in before])
+                    own_us, own_v = own_us[int(copy) :], own_v[int(copy) :]
+                    if not len(own_us):
+                        continue
+                if c["edge"] & 2:
+                    a_us, a_v = np.array([t for t, _ in after], dtype=np.int64), np.array([x for _, x in after])
+                us, x = np.concatenate([b_us, own_us, a_us]).astype(np.int64), np.concatenate([b_v, own_v, a_v]).astype(np.float64)
                 r, same = residuals(us, x, (x < lowest) | (x > highest))
-                i, j = len(b), len(b) + len(c["us"])
+                i, j = len(b_us), len(b_us) + len(own_us)
                 run = np.diff(np.flatnonzero(np.concatenate([[True], ~same[i + 1 : j], [True]])))
                 short = run[run < SHORT_RUN]
-                before = (int(us[i - 1]), float(x[i - 1])) if i else (None, None)
-                out.append((c["__s"], c["__chunk"], us[i:j], x[i:j], r[i:j], same[i:j], *before, _histogram(r[i:j]), int((short - 1).sum()), int(short.sum())))
-            made = pd.DataFrame(out, columns=["__s", "__chunk", "us", "v", "r", "same", "us_0", "v_0", "hist", "repeats", "steps"])
+                last = (int(us[i - 1]), float(x[i - 1])) if i else (None, None)
+                out.append((c["__s"], c["pid"], c["idx"], us[i:j], x[i:j], r[i:j], same[i:j], *last, _histogram(r[i:j]), int((short - 1).sum()), int(short.sum())))
+            made = pd.DataFrame(out, columns=["__s", "pid", "idx", "us", "v", "r", "same", "us_0", "v_0", "hist", "repeats", "steps"])
             yield made.astype({"us_0": "Int64"})
 
-    joined = packed.join(edge, ["__s", "__chunk"])
-    feature = joined.mapInPandas(features, "__s string, __chunk bigint, us array<bigint>, v array<double>, r array<double>, same array<boolean>, us_0 bigint, v_0 double, hist map<int,int>, repeats bigint, steps bigint")
+    feature = packed.mapInPandas(features, "__s string, pid int, idx int, us array<bigint>, v array<double>, r array<double>, same array<boolean>, us_0 bigint, v_0 double, hist map<int,int>, repeats bigint, steps bigint")
     feature = materialize(feature, "hmm-features")
 
     bins = feature.select("__s", F.explode("hist").alias("b", "n")).groupBy("__s", "b").agg(F.sum("n").alias("n"))
-    wb = Window.partitionBy("__s")
+    wb = Window.partitionBy("__s")  # a source has at most 61 x FINE bins
     bins = bins.withColumn("below", F.sum("n").over(wb.orderBy("b"))).withColumn("all", F.sum("n").over(wb))
     top = bins.where(F.col("below") >= F.col("all") * WITHIN).groupBy("__s").agg(F.min("b").alias("b"), F.first("all").alias("n"))
     usual = feature.groupBy("__s").agg(((F.sum("repeats") + 0.5) / (F.sum("steps") + 1.0)).alias("repeat"))
     tops = F.when(F.col("n") < MIN_READINGS, 0.0).otherwise(F.pow(F.lit(2.0), (F.greatest("b", F.lit(0)) + 1) / FINE + SMALLEST))
     behaviour = usual.join(top, "__s", "left").select("__s", "repeat", F.coalesce(tops, F.lit(0.0)).alias("scale"), (F.coalesce("n", F.lit(0)) >= MIN_READINGS).alias("known"))
-    known = materialize(lookup_join(feature.select("__s", "__chunk"), behaviour, ["__s"]), "hmm-behaviour")
+    behaviour = materialize(behaviour, "hmm-behaviour")
 
     def arrays(row) -> np.ndarray:
         r, same, x = (np.array(row[c]) for c in ("r", "same", "v"))
@@ -245,26 +382,36 @@ def implausible(readings: DataFrame, source: str = "geraet", time: str = "zeitpu
     def matrices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             m = [transfer(arrays(row)).ravel() for row in pdf.to_dict("records")]
-            yield pd.DataFrame({"__s": pdf["__s"], "__chunk": pdf["__chunk"], "m": m})
-
-    both = feature.drop("hist", "repeats", "steps").join(known, ["__s", "__chunk"])
-    m = both.drop("us", "us_0", "v_0").mapInPandas(matrices, "__s string, __chunk bigint, m array<double>")
-    messages = m.select("__s", "__chunk", F.collect_list("m").over(w.rowsBetween(-REACH, -1)).alias("past"), F.collect_list("m").over(w.rowsBetween(1, REACH)).alias("future"))
+            yield pd.DataFrame({"__s": pdf["__s"], "pid": pdf["pid"], "idx": pdf["idx"], "m": m})
+
+    both = lookup_join(feature.drop("hist", "repeats", "steps"), behaviour, ["__s"])
+    m = materialize(both.drop("us", "us_0", "v_0").mapInPandas(matrices, "__s string, pid int, idx int, m array<double>"), "hmm-matrices")
+    products = m.groupBy("pid").applyInPandas(_products, "pid int, s_first string, s_last string, single boolean, m_first array<double>, m_last array<double>").collect()  # one row per partition
+    entering = spark.sparkContext.broadcast(_scan(products))
+
+    def messages(pdf: pd.DataFrame) -> pd.DataFrame:
+        """The messages that enter each chunk of a partition."""
+        pdf = pdf.sort_values("idx")
+        s, m = pdf["__s"].to_numpy(), np.stack(pdf["m"].to_list()).reshape(-1, 4, 4)
+        alphas, betas = entering.value
+        pid, n = int(pdf["pid"].iloc[0]), len(s)
+        alpha, beta = np.empty((n, 4)), np.empty((n, 4))
+        x = alphas[pid]
+        for i in range(n):
+            alpha[i] = x if i == 0 or s[i] == s[i - 1] else (1.0, 0.0, 0.0, 0.0)
+            x = _unit(alpha[i] @ m[i], 0)
+        x = betas[pid]
+        for i in range(n - 1, -1, -1):
+            beta[i] = x if i == n - 1 or s[i] == s[i + 1] else 1.0
+            x = _unit(m[i] @ beta[i], 0)
+        return pd.DataFrame({"pid": pdf["pid"], "idx": pdf["idx"], "alpha": list(alpha), "beta": list(beta)})
 
     def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             parts = []
             for row in pdf.to_dict("records"):
-                alpha = np.array([1.0, 0.0, 0.0, 0.0])
-                for x in row["past"]:
-                    alpha = alpha @ np.asarray(x).reshape(4, 4)
-                    alpha = alpha / max(alpha.sum(), 1e-300)
-                beta = np.ones(4)
-                for x in row["future"][::-1]:
-                    beta = np.asarray(x).reshape(4, 4) @ beta
-                    beta = beta / max(beta.sum(), 1e-300)
                 e = arrays(row)
-                state = posterior(e, alpha, beta).argmax(axis=1)
+                state = posterior(e, np.asarray(row["alpha"]), np.asarray(row["beta"])).argmax(axis=1)
                 us, v = np.asarray(row["us"]), np.asarray(row["v"])
                 # The reading that a stuck run repeats belongs to the run, also where it ended the chunk before.
                 stuck = state == STUCK
@@ -275,11 +422,16 @@ def implausible(readings: DataFrame, source: str = "geraet", time: str = "zeitpu
                     parts.append(pd.DataFrame({"__s": [row["__s"]], "__us": [int(row["us_0"])], "__v": [row["v_0"]], "state": [STUCK]}))
             yield pd.concat(parts) if parts else pd.DataFrame({"__s": [], "__us": [], "__v": [], "state": []})
 
-    return both.join(messages, ["__s", "__chunk"]).mapInPandas(decide, "__s string, __us bigint, __v double, state int")
+    entered = m.groupBy("pid").applyInPandas(messages, "pid int, idx int, alpha array<double>, beta array<double>")
+    entered = materialize(entered, "hmm-messages")
+    keys = ["pid", "idx"]  # each chunk once on either side
+    whole = both.join(F.broadcast(entered) if is_small(entered) else entered, keys)
+    return whole.mapInPandas(decide, "__s string, __us bigint, __v double, state int")
 
 
 def flag_readings(readings: DataFrame, key: str = "mess_id", source: str = "geraet", time: str = "zeitpunkt", value: str = "temperatur_c", **bounds) -> DataFrame:
     """``key`` of every row whose reading is implausible; the copies of a reading are flagged with it."""
-    bad = implausible(readings, source, time, value, **bounds).select("__s", "__us", "__v").distinct()
+    bad = materialize(implausible(readings, source, time, value, **bounds).select("__s", "__us", "__v").distinct(), "hmm-flags")
     rows = readings.select(F.col(f"`{key}`").alias("__key"), F.col(f"`{source}`").alias("__s"), epoch_micros(readings, time).alias("__us"), (F.col(f"`{value}`").cast("double") + F.lit(0.0)).alias("__v"))
-    return rows.join(bad, ["__s", "__us", "__v"], "left_semi").select(F.col("__key").alias(key))
+    # Beyond what may be broadcast the sides are sorted; rows of one reading that are too many are split by the engine's skew join.
+    return rows.join(F.broadcast(bad) if is_small(bad) else bad, ["__s", "__us", "__v"], "left_semi").select(F.col("__key").alias(key))

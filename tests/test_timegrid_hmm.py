@@ -43,6 +43,7 @@ def brute_grid(rows, step, hold=2.0):
 
 def test_grid_equals_second_by_second(spark, monkeypatch):
     monkeypatch.setattr(timegrid, "CHUNK_CELLS", 4)
+    monkeypatch.setattr(timegrid, "SPAN_CHUNKS", 2)
     rng = np.random.default_rng(2)
     times = sorted(set(rng.integers(0, 900, 40).tolist()) | {2000, 2001, 2600})
     rows = [("a", at(t), float(rng.integers(0, 50))) for t in times]
@@ -146,3 +147,64 @@ def test_posterior_is_exact():
     start = np.array([1.0, 0, 0, 0])
     assert np.abs(sensorhmm.posterior(e, start, np.ones(4)) - np.array(out)).max() < 1e-12
     assert np.abs(sensorhmm.posterior(e[:130], start, sensorhmm.transfer(e[130:]) @ np.ones(4)) - np.array(out)[:130]).max() < 1e-12
+
+
+def chunk_sizes(spark, monkeypatch, rows):
+    """The readings of each chunk that the detector writes."""
+    seen = []
+    keep = sensorhmm.materialize
+
+    def watch(df, label):
+        out = keep(df, label)
+        if label == "hmm-chunks":
+            seen.append(out)
+        return out
+
+    monkeypatch.setattr(sensorhmm, "materialize", watch)
+    found = flagged(spark, rows)
+    return [len(r["us"]) for r in seen[0].collect()], found
+
+
+def test_a_stray_time_and_a_burst_leave_chunks_small(spark, monkeypatch):
+    monkeypatch.setattr(sensorhmm, "CHUNK", 256)
+    v = base(3000)
+    v[1500] += 60.0
+    rows = series(spark, v, start=1_600_000_000, step=1)
+    rows += series(spark, [20.0], start=0)  # 1970
+    rows += series(spark, base(500, 1), start=1_700_000_000, step=3600)
+    sizes, found = chunk_sizes(spark, monkeypatch, rows)
+    assert max(sizes) <= 256 and sum(sizes) == len(rows)
+    assert 1500 in found and len(found) < 20
+
+
+def test_copies_of_one_reading_are_spread_and_flagged_together(spark, monkeypatch):
+    monkeypatch.setattr(sensorhmm, "CHUNK", 64)
+    v = base(600)
+    v[300] += 60.0
+    rows = series(spark, v)
+    plain = flagged(spark, rows)
+    hot = rows + [rows[300]] * 2000 + [rows[100]] * 2000
+    sizes, found = chunk_sizes(spark, monkeypatch, hot)
+    assert max(sizes) <= 64
+    assert found == plain | {600 + i for i in range(2000)}
+
+
+def test_messages_reach_over_any_number_of_chunks(spark, monkeypatch):
+    """A stuck run over more chunks than any fixed reach: chunks of twelve readings, and the same result as in one chunk."""
+    v = base(400)
+    v[150:250] = [21.5] * 100
+    rows = series(spark, v)
+    whole = flagged(spark, rows)
+    assert set(range(150, 250)) <= whole
+    monkeypatch.setattr(sensorhmm, "CHUNK", 12)
+    assert flagged(spark, rows) == whole
+
+
+def test_borders_of_partitions():
+    """Readings beside a border come from as many partitions as needed, and copies across one count once."""
+    a, b, c = [(1, 1.0), (2, 2.0)], [(2, 2.0)], [(2, 2.0), (3, 3.0)]
+    edges = [{"pid": p, "idx": 0, "edge": 7, "__s": "s", "length": len(x), "us_head": [t for t, _ in x], "v_head": [y for _, y in x], "us_tail": [t for t, _ in x], "v_tail": [y for _, y in x]} for p, x in enumerate((a, b, c))]
+    out = sensorhmm._borders(edges)
+    assert out[0] == ([], [(3, 3.0)], False)
+    assert out[1] == (a, [(3, 3.0)], True)
+    assert out[2] == (a, [], True)
