@@ -159,11 +159,9 @@ def canonical_text(col: Column | str) -> Column:
 
 
 def with_canonical(df: DataFrame, text: str = "text", out: str = "canonical") -> DataFrame:
-    """``df`` with ``out``. Texts without an unstable character are passed through by the JVM; no shuffle."""
+    """``df`` with ``out``, read once. Only texts with an unstable character go to Python; no shuffle."""
     t = F.col(f"`{text}`")
-    unstable = F.coalesce(t.rlike(tables().java), F.lit(False))
-    same = df.where(~unstable).withColumn(out, t)
-    return same.unionByName(df.where(unstable).withColumn(out, canonical_text(t)))
+    return df.withColumn(out, F.coalesce(canonical_text(F.when(t.rlike(tables().java), t)), t))
 
 
 def visible(col: Column | str) -> Column:
@@ -181,6 +179,19 @@ def lookalike_classes(df: DataFrame, key: str = "doc_id", text: str = "text") ->
     return c.select(F.col("__id").alias(key), F.unhex(F.md5("__text")).alias("variant"), F.unhex(F.md5("__look")).alias("look"))
 
 
+def lookalike_members(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key``, ``look`` (hex), ``documents`` and ``strings`` of every row of a look that has more than one string.
+
+    One row per row of the table, however many copies a string has: two rows are a pair of :func:`lookalike_pairs` if they
+    share ``look`` and differ in ``variant`` (hex). The rows of a frequent look are spread when their class is looked up.
+    """
+    rows = materialize(lookalike_classes(df, key, text), "look").where(F.col(f"`{key}`").isNotNull())
+    strings = rows.groupBy("look", "variant").agg(F.count("*").alias("n"))
+    mixed = strings.groupBy("look").agg(F.sum("n").alias("documents"), F.count("*").alias("strings")).where("strings > 1")
+    found = lookup_join(rows, mixed, ["look"])
+    return found.select(key, F.lower(F.hex("look")).alias("look"), F.lower(F.hex("variant")).alias("variant"), "documents", "strings")
+
+
 #: Parts into which the rows of one string are spread when they are joined.
 SPREAD = 16
 

@@ -169,3 +169,12 @@ def test_an_id_with_two_vectors_and_many_copies(spark):
     assert all(len(v) == 3 for v in got.values()) and len(got) == 43
     assert [n for _, n in sorted(got[139])] == [100, 101, 102]
     assert [n for _, n in sorted(got[100])] == [101, 102, 103]
+
+
+def test_classes_agree_with_pairs(spark):
+    texts = ["ab c", "ａb c", "ab c", "a\u200bb c", "other", "other", "é", "e\u0301", None, "", "\u200b", "\u200b\u200b"]
+    df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, look int")
+    rows = lookalike.lookalike_members(df).collect()
+    pairs = {(a["doc_id"], b["doc_id"]) for a in rows for b in rows if a["look"] == b["look"] and a["variant"] != b["variant"] and a["doc_id"] < b["doc_id"]}
+    assert pairs == {tuple(r) for r in lookalike.lookalike_pairs(df).collect()}
+    assert {(r["doc_id"], r["documents"], r["strings"]) for r in rows} == {(0, 4, 3), (1, 4, 3), (2, 4, 3), (3, 4, 3), (6, 2, 2), (7, 2, 2)}
