@@ -16,13 +16,16 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def _term_store(spark: SparkSession, sf: str) -> terms.TermCounts:
+    """A store that has taken in the whole table in three changes, each merged into what was there."""
     store = terms.TermCounts(spark, scratch_path(spark, "terms"))
-    store.apply(terms.signed_changes(None, _table(spark, sf, "ai_kb"), ARTICLE), ARTICLE)
+    kb = _table(spark, sf, "ai_kb")
+    for batch in ("in_scope", "not in_scope", "in_scope is null"):
+        store.apply(terms.signed_changes(None, kb.where(batch), ARTICLE), ARTICLE)
     return store
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
-    """Terms too rare or too common, from a store that takes in the whole table as one delta."""
+    """Terms too rare or too common, from a store that takes in the table in three batches."""
     return _term_store(spark, sf).terms().where("mark is not null").select("term", "mark")
 
 
@@ -55,7 +58,7 @@ def p4_nearest(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
-    """Terms that mark their article: at least three times in it and found in two to eight articles."""
+    """Terms that mark their article: at least three times in it, found in two to eight articles, and of a score above 0."""
     return relevance.relevance(_table(spark, sf, "ai_kb"), ARTICLE, min_tf=3, min_df=2, max_df=8).select("id", "term")
 
 
@@ -64,6 +67,11 @@ def p5_scores(spark: SparkSession, sf: str) -> DataFrame:
     return relevance.relevance(_table(spark, sf, "ai_kb"), ARTICLE).withColumn("score", F.round("score", 6))
 
 
+def p5_ranking(spark: SparkSession, sf: str) -> DataFrame:
+    """Of each article with marking terms (as in p5_found): how many of them the score puts ahead of all its other terms."""
+    return relevance.marks_lead(relevance.relevance(_table(spark, sf, "ai_kb"), ARTICLE))
+
+
 def p6_ids(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.encode_table(_table(spark, sf, "documents"))
 
@@ -77,12 +85,17 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     return lookalike.lookalike_pairs(_table(spark, sf, "documents"))
 
 
+def p8_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document that has a partner, with the class of its look and the numbers of documents and strings there."""
+    return lookalike.lookalike_members(_table(spark, sf, "documents"))
+
+
 def p8_canonical(spark: SparkSession, sf: str) -> DataFrame:
     """Every document's canonical form, by its fingerprint."""
     return lookalike.with_canonical(_table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", F.md5("canonical").alias("look"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_terms, p1_incremental, p4_found, p4_nearest, p5_found, p5_scores, p6_ids, p7_containers, p8_found, p8_canonical)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_terms, p1_incremental, p4_found, p4_nearest, p5_found, p5_scores, p5_ranking, p6_ids, p7_containers, p8_found, p8_classes, p8_canonical)}
 
 _TERMS = r"""
 with t as (select id, unnest(regexp_extract_all(lower(coalesce(title, '') || ' ' || coalesce(content, '')), '[\p{L}\p{N}]+')) term from ai_kb),
@@ -91,6 +104,10 @@ with t as (select id, unnest(regexp_extract_all(lower(coalesce(title, '') || ' '
      n as (select count(*) n from ai_kb),
      m as (select term, occurrences, records, case when records <= 2 then 'rare' when records * 3 > n then 'common' end mark from d, n)
 """
+_SCORES = """, l as (select id, sum(tf) dl from p group by id), a as (select (select sum(tf) from p) / n avgdl, n from n),
+     s as (select id, term, tf, records df, ln(1 + (n - records + 0.5) / (records + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)) score
+           from p join d using (term) join l using (id), a)
+"""
 _P1 = _TERMS + "select term, occurrences, records, mark from m"
 
 SQL = {
@@ -98,11 +115,13 @@ SQL = {
     "p1_terms": _P1,
     "p1_incremental": _P1,
     "p5_found": _TERMS + "select id, term from p join d using (term) where tf >= 3 and records between 2 and 8",
-    "p5_scores": _TERMS
-    + """, l as (select id, sum(tf) dl from p group by id), a as (select (select sum(tf) from p) / n avgdl, n from n)
-select id, term, tf, records df,
-       round(ln(1 + (n - records + 0.5) / (records + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)), 6) score
-from p join d using (term) join l using (id), a""",
+    "p5_scores": _TERMS + _SCORES + "select id, term, tf, df, round(score, 6) score from s",
+    "p5_ranking": _TERMS
+    + _SCORES
+    + """, b as (select id, max(score) filter (where not (tf >= 3 and df between 2 and 8)) best from s group by id)
+select id, count(*) filter (where tf >= 3 and df between 2 and 8) marks, count(*) filter (where not (tf >= 3 and df between 2 and 8)) others,
+       count(*) filter (where tf >= 3 and df between 2 and 8 and (best is null or score > best)) leading
+from s join b using (id) group by id having marks > 0""",
     "p4_found": """
 with u as (select id, list_transform(embedding, lambda x: x::double) e from ai_kb
            where len(embedding) = 8 and len(list_filter(embedding, lambda x: isfinite(x))) = 8 and len(list_filter(embedding, lambda x: x <> 0)) > 0),

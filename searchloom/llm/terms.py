@@ -11,16 +11,24 @@ time; an empty collection has no terms; columns other than the named fields are
 from __future__ import annotations
 
 import json
+import time
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from searchloom.scratch import materialize
+
 #: A term: a maximal run of letters or digits of any script.
 TERM = r"[\p{L}\p{N}]+"
 #: The columns of the counts on disk; a version that holds no row has no file to tell them.
 COUNTS = "term string, occurrences bigint, records bigint, bucket int"
 #: The row of the counts that holds the number of records. No term is empty.
 ALL_RECORDS = ""
+#: Terms of a bucket where their number is free; deltas beside a bucket's counts, and their share of it (one in so many), at which they are merged.
+BUCKET_TERMS, MERGE_RUNS, MERGE_SHARE = 500_000, 4, 8
+#: Seconds for which an unfinished manifest is taken for that of a writer at work.
+GRACE_S = 60
 
 
 def record_text(fields: list[str]) -> Column:
@@ -28,11 +36,10 @@ def record_text(fields: list[str]) -> Column:
     return F.lower(F.concat_ws("\n", *[F.coalesce(F.col(f"`{f}`"), F.lit("")) for f in fields]))
 
 
-def term_frequencies(df: DataFrame, fields: list[str], keep: list[Column] | None = None, extra: str | None = None) -> DataFrame:
-    """One row per record and distinct term: the kept columns, ``term``, ``tf`` and ``dl`` (the record's length in terms).
+def record_terms(df: DataFrame, fields: list[str], keep: list[Column] | None = None) -> DataFrame:
+    """One row per record: the kept columns, ``terms`` (each distinct term with its ``tf``) and ``dl`` (its length in terms).
 
-    Terms are sorted within the row and run lengths are taken, so no shuffle is needed and a text of any length costs
-    n log n. ``extra`` adds one row of that term with frequency 0 to each record.
+    Terms are sorted within the row and run lengths are taken, so no shuffle is needed and a text of any length costs n log n.
     """
     keep = keep or []
     runs = df.select(*keep, F.array_sort(F.regexp_extract_all(record_text(fields), F.lit(TERM), F.lit(0))).alias("__t"))
@@ -40,9 +47,20 @@ def term_frequencies(df: DataFrame, fields: list[str], keep: list[Column] | None
     starts = F.expr("filter(sequence(1, size(__t)), i -> i = 1 or element_at(__t, i) != element_at(__t, i - 1))")
     runs = runs.select(*names, "__t", F.when(F.size("__t") > 0, starts).otherwise(F.array().cast("array<int>")).alias("__s"))
     pairs = F.expr("transform(__s, (p, j) -> struct(element_at(__t, p) as term, (coalesce(get(__s, j + 1), size(__t) + 1) - p) as tf))")
+    return runs.select(*names, F.size("__t").alias("dl"), pairs.alias("terms"))
+
+
+def term_frequencies(df: DataFrame, fields: list[str], keep: list[Column] | None = None, extra: str | None = None) -> DataFrame:
+    """One row per record and distinct term: the kept columns, ``term``, ``tf`` and ``dl``, from :func:`record_terms`.
+
+    ``extra`` adds one row of that term with frequency 0 to each record.
+    """
+    runs = record_terms(df, fields, keep)
+    names = [c for c in runs.columns if c not in ("terms", "dl")]
+    pairs = F.col("terms")
     if extra is not None:
         pairs = F.concat(pairs, F.expr(f"array(struct('{extra}' as term, 0 as tf))"))
-    out = runs.select(*names, F.size("__t").alias("dl"), F.explode(pairs).alias("__p"))
+    out = runs.select(*names, "dl", F.explode(pairs).alias("__p"))
     return out.select(*names, F.col("__p.term").alias("term"), F.col("__p.tf").cast("bigint").alias("tf"), "dl")
 
 
@@ -71,12 +89,19 @@ def term_delta(changes: DataFrame, fields: list[str]) -> DataFrame:
 class TermCounts:
     """Persistent counts per term in ``path``, in hash buckets, changed only by signed deltas.
 
-    Each change writes a new version of the buckets it touches and then a manifest naming the version of every bucket;
-    a reader follows the newest manifest, so a change that fails halfway leaves the old state in force.
+    A change writes its delta to a folder of its own and then a manifest that names the folders of every bucket; a reader
+    follows the newest manifest, so a change that fails before its manifest leaves the old state in force and can be
+    tried again. A bucket whose delta is small against it keeps the delta beside its counts; one whose deltas have come
+    to a share of ``MERGE_SHARE`` of it, or to ``MERGE_RUNS``, is merged: so a bucket is rewritten in proportion to what has
+    changed in it, and buckets without a changed term aren't read at all. Without ``buckets`` their number follows the
+    vocabulary (``BUCKET_TERMS`` terms each), and grows with it.
+
+    A manifest is created only if its number is free, so of two writers that start from one version the second fails
+    and may try again. An unfinished manifest counts as a writer at work for ``GRACE_S`` seconds and as none after that.
     """
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = 32):
-        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
+    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
+        self.spark, self.path, self.fixed = spark, path.rstrip("/"), buckets
 
     def _fs(self):
         jvm = self.spark.sparkContext._jvm
@@ -84,70 +109,105 @@ class TermCounts:
         return jvm, p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
     def manifest(self) -> dict:
-        """Version and the version of each bucket; version 0 if nothing was ever applied."""
-        _, p, fs = self._fs()
-        if not fs.exists(p):
-            return {"version": 0, "buckets": {}}
-        names = sorted(s.getPath().getName() for s in fs.listStatus(p) if s.getPath().getName().endswith(".json"))
-        if not names:
-            return {"version": 0, "buckets": {}}
-        row = self.spark.read.text(f"{self.path}/manifest/{names[-1]}", wholetext=True).first()
-        return json.loads(row[0])
-
-    def _commit(self, m: dict) -> None:
+        """The newest state: ``version``, ``count`` (of buckets), ``buckets`` (each one's folders and rows), ``number`` (of its file)."""
+        jvm, p, fs = self._fs()
+        empty = {"version": 0, "count": 0, "buckets": {}, "number": 0}
+        files = sorted((f for f in fs.listStatus(p) if f.getPath().getName().endswith(".json")), key=lambda f: f.getPath().getName()) if fs.exists(p) else []
+        for i, f in enumerate(reversed(files)):
+            stream = fs.open(f.getPath())
+            try:
+                m = json.loads(jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+            except ValueError:
+                if time.time() - f.getModificationTime() / 1000 < GRACE_S:
+                    raise RuntimeError(f"another writer is committing to {self.path}") from None
+                continue
+            finally:
+                stream.close()
+            return m | {"number": m["number"] + i}  # the numbers of unfinished files stay taken
+        return empty | {"number": len(files)}
+
+    def _commit(self, m: dict) -> int:
         jvm, p, fs = self._fs()
-        final = jvm.org.apache.hadoop.fs.Path(p, f"{m['version']:09d}.json")
-        part = jvm.org.apache.hadoop.fs.Path(p, f"_{m['version']:09d}.tmp")
-        out = fs.create(part, True)
+        m = m | {"version": m["version"] + 1, "number": m["number"] + 1}
+        final = jvm.org.apache.hadoop.fs.Path(p, f"{m['number']:09d}.json")
+        try:
+            out = fs.create(final, False)
+        except Exception as e:  # noqa: BLE001
+            raise RuntimeError(f"another writer committed version {m['version']} of {self.path}") from e
         out.write(bytearray(json.dumps(m).encode()))
         out.close()
-        if not fs.rename(part, final):
-            raise RuntimeError(f"another writer committed version {m['version']} of {self.path}")
+        return m["version"]
+
+    def _bucket(self, count: int) -> Column:
+        return F.pmod(F.xxhash64("term"), F.lit(count)).cast("int")
 
-    def _read(self, m: dict, only: set[int] | None = None) -> DataFrame | None:
-        by: dict[int, list[int]] = {}
-        for b, v in m["buckets"].items():
+    def _read(self, m: dict, only: set[int] | None = None) -> DataFrame:
+        """The rows of the buckets, several of a term where a delta lies beside the counts."""
+        by: dict[str, list[int]] = {}
+        for b, state in m["buckets"].items():
             if only is None or int(b) in only:
-                by.setdefault(v, []).append(int(b))
-        out = None
-        for v, bs in sorted(by.items()):
-            part = self.spark.read.schema(COUNTS).parquet(f"{self.path}/counts/v{v:09d}").where(F.col("bucket").isin(bs))
-            part = part.select("term", "occurrences", "records", "bucket")
-            out = part if out is None else out.unionByName(part)
+                for run in state["runs"]:
+                    by.setdefault(run, []).append(int(b))
+        out = self.spark.createDataFrame([], COUNTS)
+        for run, bs in sorted(by.items()):
+            part = self.spark.read.schema(COUNTS).parquet(f"{self.path}/counts/{run}").where(F.col("bucket").isin(bs))
+            out = out.unionByName(part.select("term", "occurrences", "records", "bucket"))
         return out
 
+    def _write(self, df: DataFrame, count: int) -> tuple[str, dict[int, int]]:
+        """Write rows to a new folder by bucket; its name and the rows of each bucket."""
+        run = uuid.uuid4().hex
+        parts = df.select("term", "occurrences", "records", self._bucket(count).alias("bucket"))
+        parts.repartition(count, "bucket").write.partitionBy("bucket").parquet(f"{self.path}/counts/{run}")
+        rows = self.spark.read.schema(COUNTS).parquet(f"{self.path}/counts/{run}").groupBy("bucket").count().collect()  # one per bucket
+        return run, {r["bucket"]: r["count"] for r in rows}
+
+    def _merged(self, m: dict, only: set[int] | None = None) -> DataFrame:
+        rows = self._read(m, only).groupBy("term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
+        return rows.where("occurrences != 0 or records != 0")
+
     def apply(self, changes: DataFrame, fields: list[str]) -> int:
-        """Merge signed records (column ``sign`` and the text fields) into the counts; returns the new version."""
+        """Merge signed records (column ``sign`` and the text fields) into the counts; returns the version in force then."""
         m = self.manifest()
-        version = m["version"] + 1
-        bucket = F.pmod(F.xxhash64("term"), F.lit(self.buckets)).cast("int")
-        delta = term_delta(changes, fields).withColumn("bucket", bucket)
-        target = f"{self.path}/counts/v{version:09d}"
-        if m["version"] == 0:
-            self._write(delta, target)
-            self._commit({"version": version, "buckets": {str(b): version for b in range(self.buckets)}})
-            return version
-        staged = f"{self.path}/delta/v{version:09d}"
-        self._write(delta, staged)
-        staged_df = self.spark.read.schema(COUNTS).parquet(staged)
-        touched = {r[0] for r in staged_df.select("bucket").distinct().collect()}  # at most self.buckets values
-        if not touched:
+        delta = term_delta(changes, fields).where("occurrences != 0 or records != 0")
+        if not m["count"]:
+            m["count"] = self.fixed
+            if self.fixed is None:  # how many buckets is known once the delta is there
+                delta = materialize(delta, "terms-first")
+                m["count"] = max(1, -(-delta.count() // BUCKET_TERMS))
+        run, rows = self._write(delta, m["count"])
+        if not rows:
             return m["version"]
-        merged = self._read(m, touched).unionByName(staged_df.select("term", "occurrences", "records", "bucket"))
-        merged = merged.groupBy("bucket", "term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
-        self._write(merged.where("occurrences != 0 or records != 0"), target)
-        self._commit({"version": version, "buckets": m["buckets"] | {str(b): version for b in touched}})
-        return version
-
-    def _write(self, df: DataFrame, path: str) -> None:
-        df.select("term", "occurrences", "records", "bucket").repartition(self.buckets, "bucket").write.partitionBy("bucket").parquet(path)
+        merge = set()
+        for b, n in rows.items():
+            state = m["buckets"].setdefault(str(b), {"runs": [], "rows": 0, "beside": 0})
+            beside = state["beside"] + n if state["runs"] else 0
+            m["buckets"][str(b)] = {"runs": [*state["runs"], run], "rows": state["rows"] + n, "beside": beside}
+            if len(state["runs"]) >= MERGE_RUNS or beside * MERGE_SHARE > state["rows"]:
+                merge.add(b)
+        if self.fixed is None and sum(s["rows"] for s in m["buckets"].values()) > 4 * m["count"] * BUCKET_TERMS:
+            old, m["count"], merge = m, 4 * m["count"], set()
+            run, rows = self._write(self._merged(old), m["count"])
+            m["buckets"] = {str(b): {"runs": [run], "rows": n, "beside": 0} for b, n in rows.items()}
+        if merge:
+            run, rows = self._write(self._merged(m, merge), m["count"])
+            m["buckets"] |= {str(b): {"runs": [run] if b in rows else [], "rows": rows.get(b, 0), "beside": 0} for b in merge}
+        return self._commit(m)
+
+    def clean(self) -> None:
+        """Delete the folders that the newest manifest doesn't name: those of older versions and of failed changes. Not while another writes or reads."""
+        jvm, _, fs = self._fs()
+        used = {run for state in self.manifest()["buckets"].values() for run in state["runs"]}
+        p = jvm.org.apache.hadoop.fs.Path(f"{self.path}/counts")
+        for f in fs.listStatus(p) if fs.exists(p) else []:
+            if f.getPath().getName() not in used:
+                fs.delete(f.getPath(), True)
 
     def _counts(self) -> DataFrame:
         m = self.manifest()
-        df = self._read(m) if m["version"] else None
-        if df is None:
-            return self.spark.createDataFrame([], "term string, occurrences bigint, records bigint")
-        return df.select("term", "occurrences", "records")
+        if all(len(state["runs"]) < 2 for state in m["buckets"].values()):
+            return self._read(m).select("term", "occurrences", "records")
+        return self._merged(m)
 
     def total_records(self) -> int:
         """Records in the collection."""

@@ -114,3 +114,90 @@ def test_relevance_is_the_same_however_terms_are_split(spark, monkeypatch, share
     words = {w: n for w, (_, n) in brute(ROWS).items()}
     assert all(x["df"] == words[x["term"]] for x in r)
     assert len(r) == sum(words.values())
+
+
+def test_no_change_then_change(spark):
+    """A change without effect writes no version and stands in the way of none."""
+    store = terms.TermCounts(spark, scratch_path(spark, "t"), 4)
+    t = table(spark, ROWS)
+    store.apply(terms.signed_changes(None, t, FIELDS), FIELDS)
+    for _ in range(2):
+        assert store.apply(terms.signed_changes(t, t, FIELDS), FIELDS) == 1
+    assert store.apply(table(spark, [(9, "new", None)]).withColumn("sign", F.lit(1)), FIELDS) == 2
+    assert counts(store) == brute([*ROWS, (9, "new", None)])
+
+
+def test_crash_before_the_manifest_and_retry(spark, monkeypatch):
+    store = terms.TermCounts(spark, scratch_path(spark, "t"), 4)
+    store.apply(terms.signed_changes(None, table(spark, ROWS), FIELDS), FIELDS)
+    more = table(spark, [(9, "new", "alpha")]).withColumn("sign", F.lit(1))
+    with monkeypatch.context() as m:
+        m.setattr(terms.TermCounts, "_commit", lambda self, x: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError):
+            store.apply(more, FIELDS)
+    assert counts(store) == brute(ROWS)
+    assert store.apply(more, FIELDS) == 2
+    store.clean()
+    assert counts(store) == brute([*ROWS, (9, "new", "alpha")])
+
+
+def test_crash_within_the_manifest(spark, monkeypatch):
+    path = scratch_path(spark, "t")
+    store = terms.TermCounts(spark, path, 4)
+    store.apply(terms.signed_changes(None, table(spark, ROWS), FIELDS), FIELDS)
+    jvm, p, fs = store._fs()
+    out = fs.create(jvm.org.apache.hadoop.fs.Path(p, f"{2:09d}.json"), False)
+    out.write(bytearray(b'{"version": 2, "buck'))
+    out.close()
+    with pytest.raises(RuntimeError):  # it may be a writer at work
+        store.manifest()
+    monkeypatch.setattr(terms, "GRACE_S", -1)
+    assert counts(store) == brute(ROWS)
+    assert store.apply(table(spark, [(9, "new", None)]).withColumn("sign", F.lit(1)), FIELDS) == 2
+    assert counts(store) == brute([*ROWS, (9, "new", None)])
+
+
+def test_of_two_writers_one_fails_and_may_try_again(spark, monkeypatch):
+    path = scratch_path(spark, "t")
+    one, two = (terms.TermCounts(spark, path, 4) for _ in range(2))
+    one.apply(terms.signed_changes(None, table(spark, ROWS), FIELDS), FIELDS)
+    seen = two.manifest()
+    one.apply(table(spark, [(9, "new", None)]).withColumn("sign", F.lit(1)), FIELDS)
+    other = table(spark, [(10, "other", None)]).withColumn("sign", F.lit(1))
+    with monkeypatch.context() as m:
+        m.setattr(terms.TermCounts, "manifest", lambda self: seen)
+        with pytest.raises(RuntimeError):
+            two.apply(other, FIELDS)
+    two.apply(other, FIELDS)
+    assert counts(two) == brute([*ROWS, (9, "new", None), (10, "other", None)])
+
+
+def test_buckets_follow_the_vocabulary(spark, monkeypatch):
+    monkeypatch.setattr(terms, "BUCKET_TERMS", 5)
+    store = terms.TermCounts(spark, scratch_path(spark, "t"))
+    rows = [(i, f"word{i} other{i}", "all") for i in range(8)]
+    store.apply(terms.signed_changes(None, table(spark, rows), FIELDS), FIELDS)
+    first = store.manifest()["count"]
+    more = [(i, f"word{i} other{i}", "all") for i in range(8, 80)]
+    store.apply(terms.signed_changes(None, table(spark, more), FIELDS), FIELDS)
+    assert first == 4 and store.manifest()["count"] == 16
+    assert counts(store) == brute(rows + more)
+
+
+def test_small_changes_lie_beside_the_counts_until_they_are_merged(spark):
+    store = terms.TermCounts(spark, scratch_path(spark, "t"), 1)
+    rows = [(i, f"word{i}", "all") for i in range(200)]
+    store.apply(terms.signed_changes(None, table(spark, rows), FIELDS), FIELDS)
+    runs = []
+    for i in range(4):
+        rows.append((1000 + i, f"late{i}", None))
+        store.apply(terms.signed_changes(None, table(spark, rows[-1:]), FIELDS), FIELDS)
+        runs.append(len(store.manifest()["buckets"]["0"]["runs"]))
+    assert runs == [2, 3, 4, 1]
+    assert counts(store) == brute(rows)
+
+
+def test_marks_lead(spark):
+    rows = [(i, "the common words", "the note " + ("rareword " * 3 if i in (3, 4) else "other ")) for i in range(30)]
+    r = relevance.marks_lead(relevance.relevance(table(spark, rows), FIELDS)).collect()
+    assert sorted((x["id"], x["marks"], x["leading"]) for x in r) == [(3, 1, 1), (4, 1, 1)]
