@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from searchloom.functions import geo, text
 from searchloom.functions.script import compile_script
 from searchloom.operators import pipelines
+from searchloom.operators.quantiles import exact_quantiles, same_keys
 from searchloom.plans import dates
 from searchloom.plans.query import Context, QueryError, compile_query
 
@@ -56,11 +57,6 @@ def percent_name(p: float) -> str:
     return f"{float(p):g}".replace(".", "_")
 
 
-def _percentiles(v: Column, ps: list[float]) -> Column:
-    """All percentiles from one aggregation buffer. Exact, so the buffer holds the distinct values; ``approximate`` bounds it."""
-    return F.percentile(v, F.array(*[F.lit(float(q) / 100) for q in ps]))
-
-
 def metric_columns(level: Level, name: str, kind: str, p: dict) -> list[Column]:
     """The expressions of a metric that one aggregation can compute, named ``name`` or ``name_<part>``."""
     n = lambda part: f"{name}_{part}"
@@ -89,20 +85,10 @@ def metric_columns(level: Level, name: str, kind: str, p: dict) -> list[Column]:
         return [(F.approx_count_distinct(col, 0.01) if p.get("approximate") else F.count_distinct(col)).alias(name)]
     if kind == "percentiles":
         v, ps = _number(level, p), p.get("percents", [1.0, 5.0, 25.0, 50.0, 75.0, 95.0, 99.0])
-        if p.get("approximate"):
-            return [F.percentile_approx(v, float(q) / 100, 10_000).alias(n(percent_name(q))) for q in ps]
-        if "hdr" in p:
-            digits = int(p["hdr"].get("number_of_significant_value_digits", 3))
-            unit = F.pow(F.lit(10.0), F.floor(F.log10(v)) - (digits - 1))
-            v = F.when(v > 0, F.floor(v / unit) * unit).otherwise(v)
-        return [F.get(_percentiles(v, ps), i).alias(n(percent_name(q))) for i, q in enumerate(ps)]
+        return [F.percentile_approx(v, float(q) / 100, 10_000).alias(n(percent_name(q))) for q in ps]
     if kind == "percentile_ranks":
         v = _number(level, p)
         return [F.avg(F.when(v.isNotNull(), F.when(v <= float(t), 100.0).otherwise(0.0))).alias(n(percent_name(t))) for t in sorted(p["values"])]
-    if kind == "boxplot":
-        v = _number(level, p)
-        q1, q2, q3 = (F.get(_percentiles(v, [25, 50, 75]), i) for i in range(3))
-        return [F.min(v).alias(n("min")), F.max(v).alias(n("max")), q1.alias(n("q1")), q2.alias(n("q2")), q3.alias(n("q3"))]
     if kind == "matrix_stats":
         fs = p["fields"]
         cols = {f: level.col(f)[0].cast("double") for f in fs}
@@ -150,12 +136,33 @@ def _count(level: Level) -> Column:
     return metric_columns(level, "doc_count", "doc_count", {})[0]
 
 
-def _median_absolute_deviation(level: Level, name: str, p: dict) -> DataFrame:
+def _by_rank(level: Level, name: str, kind: str, p: dict) -> DataFrame:
+    """Percentiles, box plots and median absolute deviations: one row per bucket that has values."""
     v = _number(level, p)
-    rows = level.df.select(*level.keys, v.alias("__v")).where("__v is not null")
-    med = rows.groupBy(*level.keys).agg(F.percentile("__v", 0.5).alias("__m"))
-    rows = rows.join(med, level.keys) if level.keys else rows.crossJoin(F.broadcast(med))
-    return rows.groupBy(*level.keys).agg(F.percentile(F.abs(F.col("__v") - F.col("__m")), 0.5).alias(name))
+    if "hdr" in p:
+        digits = int(p["hdr"].get("number_of_significant_value_digits", 3))
+        unit = F.pow(F.lit(10.0), F.floor(F.log10(v)) - (digits - 1))
+        v = F.when(v > 0, F.floor(v / unit) * unit).otherwise(v)
+    values = level.df.select(*level.keys, v.alias("__v"), F.lit(1).cast("bigint").alias("__n"))
+    if kind == "percentiles":
+        ps = p.get("percents", [1.0, 5.0, 25.0, 50.0, 75.0, 95.0, 99.0])
+        out = exact_quantiles(values, level.keys, [float(q) / 100 for q in ps])
+        return out.select(*level.keys, *[F.get("__q", i).alias(f"{name}_{percent_name(q)}") for i, q in enumerate(ps)])
+    if kind == "boxplot":
+        out = exact_quantiles(values, level.keys, [0.0, 0.25, 0.5, 0.75, 1.0])
+        parts = {f"{name}_{part}": F.get("__q", i) for i, part in enumerate(("min", "q1", "q2", "q3", "max"))}
+        if not p.get("whiskers"):
+            return out.select(*level.keys, *[c.alias(n) for n, c in parts.items()])
+        # The whiskers end at the outermost values within one and a half times the box beyond it.
+        low, high = (F.get("__q", i) + f * (F.get("__q", 3) - F.get("__q", 1)) for i, f in ((1, -1.5), (3, 1.5)))
+        fences = out.select(*level.keys, low.alias("__low"), high.alias("__high"), "__q")
+        within = same_keys(values, fences.drop("__q"), level.keys, "inner").where(F.col("__v").between(F.col("__low"), F.col("__high")))
+        ends = within.groupBy(*level.keys).agg(F.min("__v").alias(f"{name}_lower"), F.max("__v").alias(f"{name}_upper"))
+        return same_keys(out, ends, level.keys).select(*level.keys, *[c.alias(n) for n, c in parts.items()], f"{name}_lower", f"{name}_upper")
+    counts = values.where("__v is not null").groupBy(*level.keys, "__v").agg(F.sum("__n").alias("__n"))
+    middle = exact_quantiles(values, level.keys, [0.5]).select(*level.keys, F.get("__q", 0).alias("__m"))
+    beside = same_keys(counts, middle, level.keys, "inner").select(*level.keys, F.abs(F.col("__v") - F.col("__m")).alias("__v"), "__n")
+    return exact_quantiles(beside, level.keys, [0.5]).select(*level.keys, F.get("__q", 0).alias(name))
 
 
 def _string_stats(level: Level, name: str, p: dict) -> DataFrame:
@@ -187,8 +194,8 @@ def with_metrics(level: Level, subs: dict) -> DataFrame:
     exprs, extra = [_count(level)], []
     for name, spec in subs.items():
         kind = _kind(spec)
-        if kind == "median_absolute_deviation":
-            extra.append(_median_absolute_deviation(level, name, spec[kind]))
+        if kind in ("median_absolute_deviation", "boxplot") or kind == "percentiles" and not spec[kind].get("approximate"):
+            extra.append(_by_rank(level, name, kind, spec[kind]))
         elif kind == "string_stats":
             extra.append(_string_stats(level, name, spec[kind]))
         elif kind in METRICS and kind != "top_hits":
@@ -198,8 +205,8 @@ def with_metrics(level: Level, subs: dict) -> DataFrame:
         elif kind == "missing" and not _subs(spec):
             exprs.append(F.sum(level.col(spec[kind]["field"])[0].isNull().cast("bigint")).alias(name))
     out = level.df.groupBy(*level.keys).agg(*exprs)
-    for e in extra:
-        out = out.join(e, level.keys, "left") if level.keys else out.crossJoin(F.broadcast(e))
+    for e in extra:  # one row per bucket; no row where a bucket has no values
+        out = same_keys(out, e, level.keys) if level.keys else out.join(F.broadcast(e), how="left")
     return out
 
 
