@@ -26,7 +26,7 @@ from searchloom.plans.querystring import parse_query_string, parse_simple
 from searchloom.plans.rewrite import rewrite
 
 K1, B = 1.2, 0.75
-MAX_DEPTH, MAX_CLAUSES, MAX_EXPANSIONS = 64, 1024, 50
+MAX_DEPTH, MAX_CLAUSES, MAX_EXPANSIONS, MAX_CANDIDATES = 64, 1024, 50, 10_000
 
 
 class QueryError(ValueError):
@@ -58,6 +58,7 @@ class Context:
     depth: int = 0
     embed: Callable[[str], list[float]] | None = None
     bound: dict[str, Column] = field(default_factory=dict)
+    table: DataFrame | None = None
 
     def resolve(self, name: str) -> tuple[Column, T.DataType]:
         """The column of a dotted field name; a ``.keyword`` or ``.raw`` of a string is the string itself."""
@@ -734,7 +735,24 @@ class Compiler:
             m &= self.compile(f).match
         if "similarity" in b:
             m &= raw <= float(b["similarity"]) if kind == "l2_norm" else raw >= float(b["similarity"])
-        return Clause(m, F.coalesce(vectors.similarity(kind, col, q), F.lit(0.0)) * float(b.get("boost", 1.0)))
+        near = vectors.similarity(kind, col, q)
+        if "k" in b:
+            k = int(b["k"])
+            if not 1 <= k <= int(b.get("num_candidates", MAX_CANDIDATES)) <= MAX_CANDIDATES:
+                raise QueryError(f"k must be between 1 and num_candidates, and that at most {MAX_CANDIDATES}")
+            m &= self._among(m, near, k)
+        return Clause(m, F.coalesce(near, F.lit(0.0)) * float(b.get("boost", 1.0)))
+
+    def _among(self, match: Column, near: Column, k: int) -> Column:
+        """Whether a row is among the ``k`` nearest that match: not beyond the last of these, which a first pass over the table finds."""
+        if self.ctx.scope is not None or self.ctx.table is None:
+            raise QueryError("k takes a knn query over a table")
+        by = F.col(f"`{self.ctx.id}`")
+        rows = self.ctx.table.where(match).select(near.alias("__s"), by.alias("__i")).where("__s is not null")
+        last = rows.orderBy(F.desc("__s"), F.asc("__i")).limit(k).agg(F.min(F.struct("__s", F.lit(0))).alias("m"), F.count("*").alias("n"), F.max_by("__i", F.struct(-F.col("__s"), "__i")).alias("i")).first()
+        if last["n"] < k:
+            return near.isNotNull()
+        return (near > F.lit(last["m"][0])) | ((near == F.lit(last["m"][0])) & (by <= F.lit(last["i"])))
 
     def q_semantic(self, b):
         if self.ctx.embed is None:
@@ -787,7 +805,7 @@ def near(parts: list[Column], slop: int, ordered: bool) -> Column:
 def compile_query(df: DataFrame, query: dict, scoring: bool = False, **options) -> tuple[Clause, Context]:
     """The clause of a query over ``df``. With ``scoring`` the statistics of its text terms are collected first."""
     query = rewrite(query)
-    ctx = Context(df.schema, scoring=scoring, **options)
+    ctx = Context(df.schema, scoring=scoring, table=df, **options)
     clause = Compiler(ctx).compile(query)
     if scoring and ctx.wanted:
         ctx.stats = collect_stats(df, ctx)

@@ -27,6 +27,7 @@ class SearchResult:
     hits: DataFrame
     matched: DataFrame
     aggs: dict[str, DataFrame] = field(default_factory=dict)
+    inner: dict[str, DataFrame] = field(default_factory=dict)
 
     def total(self, track: bool | int = True) -> tuple[int, str] | None:
         """Number of matches and whether it is exact (``eq``) or a lower bound (``gte``)."""
@@ -185,6 +186,7 @@ def search(df: DataFrame, body: dict, id: str = "_id", **options) -> SearchResul
         hits = hits.where(after(keys, body["search_after"]))
     if "collapse" in body:
         c = body["collapse"]["field"]
+        group = hits
         w = Window.partitionBy(ctx.resolve(c)[0]).orderBy(*order_by(keys))
         hits = hits.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
     for r in body.get("rescore") if isinstance(body.get("rescore"), list) else [body["rescore"]] if body.get("rescore") else []:
@@ -194,6 +196,9 @@ def search(df: DataFrame, body: dict, id: str = "_id", **options) -> SearchResul
     if start:
         page = page.offset(start)
     page = page.limit(size)
+    inner = {}
+    for spec in _inner_hits(body):
+        inner[spec["name"]] = inner_hits(group, page, body["collapse"]["field"], spec, ctx, id)
     kept = source_columns(df.schema, body.get("_source"))
     extra = [c for c in ("matched_queries", *(body.get("script_fields") or {})) if c in page.columns]
     marks = []
@@ -207,7 +212,26 @@ def search(df: DataFrame, body: dict, id: str = "_id", **options) -> SearchResul
         f = {"field": f} if isinstance(f, str) else f
         col = ctx.resolve(f["field"])[0]
         marks.append((F.date_format(col, f["format"]) if f.get("format") else col).alias("field_" + f["field"].replace(".", "_")))
-    return SearchResult(page.select(*_select(kept, id), "_score", *extra, *marks), matched, aggs)
+    return SearchResult(page.select(*_select(kept, id), "_score", *extra, *marks), matched, aggs, inner)
+
+
+def _inner_hits(body: dict) -> list[dict]:
+    """The inner hits that a collapse asks for, each with a name."""
+    spec = (body.get("collapse") or {}).get("inner_hits") or []
+    return [{"name": f"inner_{i}" if i else "inner"} | s for i, s in enumerate(spec if isinstance(spec, list) else [spec])]
+
+
+def inner_hits(group: DataFrame, page: DataFrame, name: str, spec: dict, ctx: Context, id: str) -> DataFrame:  # noqa: A002
+    """The first hits of each group of a page: the group's value, the requested fields, the id, ``_score`` and ``rank`` from 1. The page has one row per group."""
+    value = ctx.resolve(name)[0]
+    groups = page.select(value.alias("__g"))
+    keys = sort_columns(spec.get("sort", ["_score"]), ctx, F.col("_score"))
+    keys.append(("_doc", F.col(f"`{id}`"), False, "_last"))
+    rows = group.withColumn("__v", value).join(F.broadcast(groups), F.col("__v").eqNullSafe(F.col("__g")), "left_semi")  # at most MAX_WINDOW groups
+    start, size = int(spec.get("from", 0)), int(spec.get("size", 3))
+    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("__v").orderBy(*order_by(keys)))).where((F.col("rank") > start) & (F.col("rank") <= start + size))
+    kept = [n for n in source_columns(ctx.schema, spec.get("_source")) if n not in (id, name)]
+    return rows.select(F.col("__v").alias(name.replace(".", "_")), *_select([id, *kept], id), "_score", "rank")
 
 
 def _select(names: list[str], id: str) -> list[Column]:  # noqa: A002

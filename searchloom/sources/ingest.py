@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -181,3 +182,42 @@ def enrich(df: DataFrame, lookup: DataFrame, match_field: str, lookup_field: str
 
     small = lookup.select(F.col(lookup_field).alias(match_field), *fields).dropDuplicates([match_field])
     return lookup_join(df, small, [match_field], "left")
+
+
+@dataclass
+class EnrichPolicy:
+    """Fields of a source table by one of its columns. :meth:`execute` writes the lookup; until then, and after the source has changed, what was written holds."""
+
+    source: DataFrame
+    match_field: str
+    fields: list[str]
+    lookup: DataFrame | None = None
+
+    def execute(self, spark) -> EnrichPolicy:
+        """Write one row per value: of several the one with the smallest fields."""
+        from searchloom.scratch import materialize
+
+        rows = self.source.where(F.col(self.match_field).isNotNull()).groupBy(self.match_field).agg(F.min(F.struct(*self.fields)).alias("__f"))
+        self.lookup = materialize(rows.select(self.match_field, *[F.col("__f")[f].alias(f) for f in self.fields]), "enrich")
+        return self
+
+    def apply(self, df: DataFrame, field: str) -> DataFrame:
+        if self.lookup is None:
+            raise ValueError("the policy was never executed")
+        return enrich(df, self.lookup, field, self.match_field, self.fields)
+
+
+def bulk_results(table: DataFrame, actions: DataFrame, key: str, version: str = "_version", expected: str = "if_version", action: str = "action", seq: str = "seq_no") -> DataFrame:
+    """What each action would do: ``key``, ``seq``, ``action`` and ``result``.
+
+    ``result`` is ``created``, ``updated``, ``deleted``, ``not_found`` (an update or delete of nothing) or ``conflict`` (a create of what
+    exists, or an ``expected`` version that isn't the row's). One action per key and call: of several, those after the first are
+    ``conflict``. An ``upsert`` updates or creates.
+    """
+    have = table.select(F.col(f"`{key}`").alias("__k"), F.col(version).alias("__version"), F.lit(True).alias("__there"))
+    first = F.row_number().over(Window.partitionBy(key).orderBy(seq)) == 1
+    j = actions.withColumn("__first", first).join(have, F.col(f"`{key}`").eqNullSafe(F.col("__k")), "left")
+    there, a = F.coalesce(F.col("__there"), F.lit(False)), F.col(action)
+    stale = F.col(expected).isNotNull() & there & (F.col(expected) != F.col("__version")) if expected in actions.columns else F.lit(False)
+    result = F.when(~F.col("__first") | stale | ((a == "create") & there), "conflict").when(a.isin("update", "delete") & ~there, "not_found").when(a == "delete", "deleted").when(there, "updated").otherwise("created")
+    return j.select(key, seq, action, result.alias("result"))
