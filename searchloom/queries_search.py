@@ -81,7 +81,7 @@ def terms_lookup(spark, sf):
 
 
 def anti_lookup(spark, sf):
-    orders = table(spark, sf, "orders")
+    orders = table(spark, sf, "orders").where("o_orderstatus = 'P'")
     return query.terms_lookup(table(spark, sf, "customer"), "c_custkey", orders, "o_custkey", negate=True).select("c_custkey")
 
 
@@ -198,7 +198,7 @@ QUERIES = {
     "q_terms": _where("orders", "o_orderkey", {"terms": {"o_orderstatus": ["F", "P"]}}),
     "q_terms_lookup": terms_lookup,
     "q_anti_lookup": anti_lookup,
-    "q_terms_set": _where("part", "p_partkey", {"terms_set": {"tags": {"terms": ["blue", "red", "green", "steel", "small"], "minimum_should_match": 2}}}, prepare=_tags),
+    "q_terms_set": _where("part", "p_partkey", {"terms_set": {"tags": {"terms": ["blue", "red", "small", "widget", "bolt"], "minimum_should_match": 2}}}, prepare=_tags),
     "q_range_num": _where("lineitem", "l_orderkey", {"range": {"l_quantity": {"gte": 10, "lt": 20}}}, ["l_linenumber"]),
     "q_range_date_math": _where("orders", "o_orderkey", {"range": {"o_orderdate": {"gte": "1996-02-01||-1M/M", "lte": "1996-03-01||/M"}}}),
     "q_range_string": _where("customer", "c_custkey", {"range": {"c_mktsegment": {"gt": "B", "lte": "FURNITURE"}}}),
@@ -227,7 +227,7 @@ QUERIES = {
     "t_phrase_prefix": _where("documents", "doc_id", {"match_phrase_prefix": {"text": "the token ca"}}),
     "t_bool_prefix": _where("documents", "doc_id", {"match_bool_prefix": {"text": {"query": "token ca", "operator": "and"}}}),
     "t_multi_match_best": _hits("ai_kb", "id", {"query": {"multi_match": {"query": "cache shard", "fields": ["title^2", "content"], "tie_breaker": 0.3}}, "size": 20}, []),
-    "t_multi_match_cross": _where("ai_kb", "id", {"multi_match": {"query": "cache shard", "fields": ["title", "content"], "type": "cross_fields", "operator": "and"}}),
+    "t_multi_match_cross": _where("ai_kb", "id", {"multi_match": {"query": "question small", "fields": ["title", "content"], "type": "cross_fields", "operator": "and"}}),
     "t_query_string": _where("documents", "doc_id", {"query_string": {"query": "(token OR vector) AND cache AND n_chars:[100 TO 900] -lang:de", "default_field": "text"}}),
     "t_simple_query_string": _where("documents", "doc_id", {"simple_query_string": {"query": "+token -replica", "fields": ["text"]}}),
     "t_mlt": _where("documents", "doc_id", {"more_like_this": {"fields": ["text"], "like": ["large index", "snapshot job"]}}),
@@ -295,8 +295,8 @@ SQL = {
     "q_term_case": _ids("customer", "c_custkey", "lower(c_mktsegment) = 'building'"),
     "q_terms": _ids("orders", "o_orderkey", "o_orderstatus in ('F', 'P')"),
     "q_terms_lookup": _ids("customer", "c_custkey", "c_nationkey in (select n_nationkey from nation where n_regionkey = 2)"),
-    "q_anti_lookup": _ids("customer", "c_custkey", "not exists (select 1 from orders where o_custkey = c_custkey)"),
-    "q_terms_set": _ids("part", "p_partkey", "len(list_intersect(string_split(p_name, ' '), ['blue', 'red', 'green', 'steel', 'small'])) >= 2"),
+    "q_anti_lookup": _ids("customer", "c_custkey", "not exists (select 1 from orders where o_custkey = c_custkey and o_orderstatus = 'P')"),
+    "q_terms_set": _ids("part", "p_partkey", "len(list_intersect(string_split(p_name, ' '), ['blue', 'red', 'small', 'widget', 'bolt'])) >= 2"),
     "q_range_num": "select l_orderkey, l_linenumber from lineitem where l_quantity >= 10 and l_quantity < 20",
     "q_range_date_math": _ids("orders", "o_orderkey", "o_orderdate >= timestamp '1996-01-01' and o_orderdate <= timestamp '1996-03-31 23:59:59.999'"),
     "q_range_string": _ids("customer", "c_custkey", "c_mktsegment > 'B' and c_mktsegment <= 'FURNITURE'"),
@@ -340,7 +340,7 @@ select round(avg(rel), 6) as precision, round(sum(rel) / any_value(n), 6) recall
     "v_hybrid_rrf": _hybrid_sql("1.0 / (60 + row_number() over (order by score desc, doc_id))"),
     "v_hybrid_linear": _hybrid_sql("score"),
     "v_sq8": "with m as (select min(list_min(embedding))::double lo, max(list_max(embedding))::double hi from embeddings) select vec_id, list_sum(list_transform(embedding, lambda x: round((x::double - lo) / ((hi - lo) / 255.0))))::int code_sum from embeddings, m",
-    "t_multi_match_cross": f"select id from (select id, list_concat(coalesce({tok('title')}, []), coalesce({tok('content')}, [])) w from ai_kb) where list_contains(w, 'cache') and list_contains(w, 'shard')",
+    "t_multi_match_cross": f"select id from (select id, list_concat(coalesce({tok('title')}, []), coalesce({tok('content')}, [])) w from ai_kb) where list_contains(w, 'question') and list_contains(w, 'small')",
     "t_query_string": _ids(_DOCS, "doc_id", "(list_contains(w, 'token') or list_contains(w, 'vector')) and list_contains(w, 'cache') and coalesce(lang, '') <> 'de' and n_chars between 100 and 900"),
     "t_simple_query_string": _ids(_DOCS, "doc_id", "list_contains(w, 'token') and not list_contains(w, 'replica')"),
     "t_mlt": _ids(_DOCS, "doc_id", "list_has_any(w, ['large', 'index', 'snapshot', 'job'])"),

@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = ("queries_sensor", "queries_search", "queries_aggs", "queries_data")
+MODULES = ("queries_sensor", "queries_search", "queries_aggs", "queries_data", "queries_more")
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
