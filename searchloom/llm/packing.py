@@ -63,22 +63,28 @@ def pack_group(sizes: np.ndarray, capacity: int, max_segments: int, max_loss: in
     return out
 
 
-def pack(sizes: DataFrame, size: str = "n_tokens", keys: list[str] | None = None, capacity: int = 2048, max_segments: int | None = None, max_loss: int | None = None, loss: str | None = None) -> DataFrame:
+def pack(sizes: DataFrame, size: str = "n_tokens", keys: list[str] | None = None, capacity: int = 2048, max_segments: int | None = None, max_loss: int | None = None, loss: str | None = None, cut_loss: bool = False) -> DataFrame:
     """``keys``, ``piece``, ``first_token``, ``n_tokens``, ``container``, ``slot`` and ``start`` for every piece.
 
     ``piece`` numbers the pieces of a row from 0, ``first_token`` is where it begins in the row; ``slot`` is the piece's
     number in its container and ``start`` its first place there. ``sizes`` should be a written table: it is read for
     the total and for the packing. Only keys and sizes travel, never texts. The column ``loss`` has the number of a row's
     loss-bearing tokens, its last ones (a prompt comes before its answer); a null means all but the first.
+
+    A row with a piece of more than ``max_loss`` loss-bearing tokens fits into no container. It is refused, or with ``cut_loss`` cut
+    into pieces of ``max_loss`` + 1 tokens (or ``capacity``, if that is less), of which the first bears none.
     """
     keys = keys or ["doc_id"]
     max_segments = max_segments or capacity
     max_loss = max_loss or capacity
     if min(capacity, max_segments) < 1 or max_loss < (capacity - 1 if loss is None else 0):
         raise ValueError("a piece of full size must fit into an empty container")
-    cap = F.lit(capacity)
     rows = sizes.where(F.col(size) > 0).select(*[F.col(f"`{k}`").alias(f"__k{i}") for i, k in enumerate(keys)], F.col(f"`{size}`").cast("bigint").alias("__n"), *([F.col(f"`{loss}`").cast("bigint").alias("__l")] if loss else []))
     rows = rows.withColumn("__row", F.monotonically_increasing_id())
+    bears = F.least(F.coalesce(F.col("__l"), F.col("__n")), F.col("__n") - 1) if loss else F.lit(0)
+    much = (F.least(bears, F.lit(capacity - 1)) > max_loss) if cut_loss else F.lit(False)
+    rows = rows.withColumn("__step", F.when(much, F.lit(min(capacity, max_loss + 1))).otherwise(F.lit(capacity)).cast("bigint"))
+    cap = F.col("__step")
     cut = rows.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("__n") - 1) / cap))))
     end = F.least(F.col("__n"), (F.col("piece") + 1) * cap)
     bears = [F.greatest(F.lit(0), F.least(end - F.col("piece") * cap - 1, F.coalesce(F.col("__l"), F.col("__n")) - (F.col("__n") - end))).alias("__loss")] if loss else []

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from searchloom.llm import bpe, knn, lookalike, packing, relevance, terms
-from searchloom.scratch import scratch_path
+from searchloom.scratch import materialize, scratch_path
 
 ARTICLE = ["title", "content"]
 
@@ -81,6 +81,16 @@ def p7_containers(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf, "documents"))
 
 
+def p7_instruction(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents as instructions and answers, the answer being all after the first line: at most 2,048 tokens, 16 pieces and 1,024 loss-bearing tokens in a container."""
+    docs = _table(spark, sf, "documents")
+    both = docs.select("doc_id", "text").unionByName(docs.select((-F.col("doc_id") - 1).alias("doc_id"), F.substring_index("text", "\n", 1).alias("text")))
+    n = bpe.count_tokens(both, "text", ["doc_id"], "n")
+    n = n.groupBy(F.when(F.col("doc_id") < 0, -F.col("doc_id") - 1).otherwise(F.col("doc_id")).alias("doc_id")).agg(F.max(F.when(F.col("doc_id") >= 0, F.col("n"))).alias("n_tokens"), F.max(F.when(F.col("doc_id") < 0, F.col("n"))).alias("prompt"))
+    sizes = n.select("doc_id", "n_tokens", F.greatest(F.lit(0), F.col("n_tokens") - F.col("prompt")).alias("answer"))
+    return packing.pack(materialize(sizes, "pack-instructions"), max_segments=16, max_loss=1024, loss="answer", cut_loss=True)
+
+
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     return lookalike.lookalike_pairs(_table(spark, sf, "documents"))
 
@@ -95,7 +105,7 @@ def p8_canonical(spark: SparkSession, sf: str) -> DataFrame:
     return lookalike.with_canonical(_table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", F.md5("canonical").alias("look"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_terms, p1_incremental, p4_found, p4_nearest, p5_found, p5_scores, p5_ranking, p6_ids, p7_containers, p8_found, p8_classes, p8_canonical)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_terms, p1_incremental, p4_found, p4_nearest, p5_found, p5_scores, p5_ranking, p6_ids, p7_containers, p7_instruction, p8_found, p8_classes, p8_canonical)}
 
 _TERMS = r"""
 with t as (select id, unnest(regexp_extract_all(lower(coalesce(title, '') || ' ' || coalesce(content, '')), '[\p{L}\p{N}]+')) term from ai_kb),
@@ -120,7 +130,7 @@ SQL = {
     + _SCORES
     + """, b as (select id, max(score) filter (where not (tf >= 3 and df between 2 and 8)) best from s group by id)
 select id, count(*) filter (where tf >= 3 and df between 2 and 8) marks, count(*) filter (where not (tf >= 3 and df between 2 and 8)) others,
-       count(*) filter (where tf >= 3 and df between 2 and 8 and (best is null or score > best)) leading
+       count(*) filter (where tf >= 3 and df between 2 and 8 and (best is null or score > best)) as leading
 from s join b using (id) group by id having marks > 0""",
     "p4_found": """
 with u as (select id, list_transform(embedding, lambda x: x::double) e from ai_kb

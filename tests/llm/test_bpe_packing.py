@@ -143,3 +143,55 @@ def test_binding_loss_limit(spark):
         packing.pack(df, capacity=100, max_loss=69, loss="answer")
     answers = df.where("answer = 8")
     assert len({r["container"] for r in packing.pack(answers, capacity=100, max_loss=16, loss="answer").collect()}) == 50
+
+
+def instructions(n=4000, seed=11):
+    """Long prompts with short answers beside short prompts with long answers, and small talk."""
+    rng = np.random.default_rng(seed)
+    prompt = np.concatenate([rng.integers(300, 900, n // 4), rng.integers(10, 60, n // 4), rng.integers(5, 40, n // 2)])
+    answer = np.concatenate([rng.integers(5, 60, n // 4), rng.integers(200, 600, n // 4), rng.integers(5, 40, n // 2)])
+    return prompt + answer, answer
+
+
+def largest_first(sizes, loss, capacity, max_segments, max_loss):
+    """Fills one container at a time with the largest piece that fits, whatever else it needs."""
+    left = sorted(range(len(sizes)), key=lambda i: -sizes[i])
+    boxes = 0
+    while left:
+        t, s, b, rest = capacity, max_segments, max_loss, []
+        for i in left:
+            if sizes[i] <= t and s and loss[i] <= b:
+                t, s, b = t - sizes[i], s - 1, b - loss[i]
+            else:
+                rest.append(i)
+        left, boxes = rest, boxes + 1
+    return boxes
+
+
+def test_dot_product_beats_largest_first_on_instructions():
+    sizes, loss = instructions()
+    limits = (2048, 16, 700)
+    box = packing.pack_group(sizes, *limits, loss)
+    n = box.max() + 1
+    assert np.bincount(box, weights=sizes).max() <= 2048 and np.bincount(box).max() <= 16 and np.bincount(box, weights=loss).max() <= 700
+    least = max(-(-sizes.sum() // 2048), -(-len(sizes) // 16), -(-loss.sum() // 700))
+    assert n < largest_first(sizes, loss, *limits) and n <= 1.2 * least
+
+
+@pytest.mark.parametrize("limits,binds", [((2048, 4000, 2048), 0), ((2048, 4, 2048), 1), ((2048, 4000, 600), 2)])
+def test_each_limit_binds(limits, binds):
+    sizes, loss = instructions(1200)
+    box = packing.pack_group(sizes, *limits, loss)
+    used = [np.bincount(box, weights=w) for w in (sizes, np.ones(len(sizes)), loss)]
+    full = [u.sum() / (len(u) * limit) for u, limit in zip(used, limits)]
+    assert all(u.max() <= limit for u, limit in zip(used, limits))
+    assert full[binds] == max(full) and full[binds] > 0.9
+
+
+def test_rows_of_too_much_loss_are_cut_if_asked(spark):
+    df = spark.createDataFrame([(1, 90, 80), (2, 250, 120), (3, 20, 5)], "doc_id long, n_tokens int, answer int")
+    rows = packing.pack(df, capacity=100, max_loss=30, loss="answer", cut_loss=True).collect()
+    for i, n in ((1, 90), (2, 250), (3, 20)):
+        own = sorted((r["first_token"], r["n_tokens"]) for r in rows if r["doc_id"] == i)
+        assert sum(x for _, x in own) == n and all(a + x == b for (a, x), (b, _) in zip(own, own[1:]))
+        assert len(own) == (1 if i == 3 else -(-n // 31))
