@@ -306,3 +306,9 @@ def highlight(c: Column, terms: list[str], pre: str = "<em>", post: str = "</em>
     rx = rf"(?iu)(?<![\p{{L}}\p{{N}}_])({words})(?![\p{{L}}\p{{N}}_])"
     safe = lambda s: s.replace("\\", "\\\\").replace("$", "\\$")
     return F.when(c.rlike(rx), F.regexp_replace(c, rx, f"{safe(pre)}$1{safe(post)}"))
+
+
+def fragments(c: Column, terms: list[str], pre: str = "<em>", post: str = "</em>", size: int = 100, most: int = 5) -> Column:
+    """The first ``most`` pieces of about ``size`` characters, cut at blanks, that have a term, each with its terms marked; an array."""
+    pieces = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(rf"(?s)\S.{{0,{max(1, size) - 1}}}(?=\s|$)|\S{{{max(1, size)}}}"), F.lit(0))
+    return F.slice(F.filter(F.transform(pieces, lambda x: highlight(x, terms, pre, post)), lambda x: x.contains(pre)), 1, most)

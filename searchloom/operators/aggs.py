@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -231,6 +231,10 @@ def _range_bounds(p: dict, date: bool, now: datetime | None) -> list[tuple[str,
         lo, hi = r.get("from"), r.get("to")
         if date:
             lo, hi = (dates.resolve(x, False, now, p.get("format")) if x is not None else None for x in (lo, hi))
+            shift = timedelta(milliseconds=_offset_ms(p.get("time_zone")) or 0)
+            if p.get("time_zone") and _offset_ms(p["time_zone"]) is None:
+                raise QueryError("date_range takes a zone as an offset, such as +01:00")
+            lo, hi = (x - shift if x is not None else None for x in (lo, hi))
             show = lambda t: "*" if t is None else t.strftime("%Y-%m-%dT%H:%M:%S.") + f"{t.microsecond // 1000:03d}Z"
         else:
             show = lambda t: "*" if t is None else str(float(t))
@@ -251,19 +255,32 @@ def _ranges(v: Column, bounds, lit) -> Column:
     return F.array_compact(F.array(*hits))
 
 
-def _ipv4(c: Column) -> Column:
-    part = F.split(c, r"\.")
-    byte = lambda i: F.get(part, i).try_cast("bigint")
-    return byte(0) * 16777216 + byte(1) * 65536 + byte(2) * 256 + byte(3)
-
-
-def _ip_bounds(r: dict) -> tuple[str, int | None, int | None]:
+def _ip_key(c: Column) -> Column:
+    """An address as 32 hexadecimal digits, which sort as addresses do; one of version 4 is mapped into version 6. Null if it is none."""
+    c = F.trim(c)
+    four = c.rlike(r"^(\d{1,3}\.){3}\d{1,3}$")
+    bytes4 = F.transform(F.split(c, r"\."), lambda x: x.try_cast("int"))
+    ok4 = F.forall(bytes4, lambda x: x.between(0, 255))
+    v4 = F.concat(F.lit("0" * 20 + "ffff"), F.array_join(F.transform(bytes4, lambda x: F.lpad(F.lower(F.hex(x)), 2, "0")), ""))
+    six = c.rlike(r"^(::|[0-9A-Fa-f])[0-9A-Fa-f:]*$") & ~c.rlike(r":::|[^:]:$") & c.contains(":")
+    halves = F.split(F.lower(c), "::")
+    groups = lambda h: F.filter(F.split(h, ":"), lambda x: x != "")
+    left, right = groups(F.get(halves, 0)), groups(F.coalesce(F.get(halves, 1), F.lit("")))
+    gap = F.lit(8) - F.size(left) - F.size(right)
+    ok6 = F.when(F.size(halves) == 2, gap >= 1).otherwise((F.size(halves) == 1) & (gap == 0)) & F.forall(F.concat(left, right), lambda x: F.length(x) <= 4)
+    pad = lambda g: F.array_join(F.transform(g, lambda x: F.lpad(x, 4, "0")), "")
+    v6 = F.concat(pad(left), F.repeat(F.lit("0000"), F.greatest(gap, F.lit(0))), pad(right))
+    return F.when(four & ok4, v4).when(six & ok6, v6)
+
+
+def _ip_bounds(r: dict) -> tuple[str, str | None, str | None]:
     import ipaddress
 
-    as_int = lambda x: None if x is None else int(ipaddress.ip_address(x))
+    mapped = lambda a: int(a) + (0xFFFF << 32 if a.version == 4 else 0)
+    as_int = lambda x: None if x is None else f"{mapped(ipaddress.ip_address(x)):032x}"
     if "mask" in r:
         net = ipaddress.ip_network(r["mask"], strict=False)
-        return r.get("key") or r["mask"], int(net.network_address), int(net.broadcast_address) + 1
+        return r.get("key") or r["mask"], f"{mapped(net.network_address):032x}", f"{mapped(net.broadcast_address) + 1:032x}"
     return r.get("key") or f"{r.get('from', '*')}-{r.get('to', '*')}", as_int(r.get("from")), as_int(r.get("to"))
 
 
@@ -275,6 +292,40 @@ def _from_ms(ms: Column) -> Column:
     return F.timestamp_millis(ms.cast("bigint")).cast("timestamp_ntz")
 
 
+def _offset_ms(zone: str | None) -> int | None:
+    """Milliseconds of a fixed zone such as ``+05:30``; None for a named one."""
+    if not zone or zone in ("UTC", "Z"):
+        return 0
+    m = re.fullmatch(r"([+-])(\d\d):?(\d\d)", zone)
+    return None if m is None else (1 if m[1] == "+" else -1) * (int(m[2]) * 60 + int(m[3])) * 60_000
+
+
+def to_zone(c: Column, zone: str | None) -> Column:
+    """The wall-clock time of a zone, of a time in UTC."""
+    return c if not zone or zone in ("UTC", "Z") else F.convert_timezone(F.lit("UTC"), F.lit(zone), c.cast("timestamp_ntz"))
+
+
+def from_zone(c: Column, zone: str | None) -> Column:
+    return c if not zone or zone in ("UTC", "Z") else F.convert_timezone(F.lit(zone), F.lit("UTC"), c)
+
+
+def _shown(local: Column, fmt: str) -> Column:
+    """A time in the first of the formats that a request names."""
+    fmt = fmt.split("||")[0]
+    if fmt in ("epoch_millis", "epoch_second"):
+        return F.call_function("div", F.unix_millis(local.cast("timestamp")), F.lit(1 if fmt == "epoch_millis" else 1000)).cast("string")
+    return F.date_format(local, fmt)
+
+
+def key_strings(table: DataFrame, name: str, p: dict) -> DataFrame:
+    """``{name}_as_string``, the bucket's time in the zone and format that the request names (keyed buckets go by it)."""
+    if not (p.get("format") or p.get("time_zone") or p.get("keyed")):
+        return table
+    local = to_zone(F.col(f"`{name}`"), p.get("time_zone"))
+    iso = F.concat(F.date_format(local, "yyyy-MM-dd'T'HH:mm:ss.SSS"), F.lit(p.get("time_zone", "Z") if _offset_ms(p.get("time_zone")) not in (0, None) else "Z"))
+    return table.withColumn(f"{name}_as_string", _shown(local, p["format"]) if p.get("format") else iso)
+
+
 def calendar_floor(c: Column, unit: str) -> Column:
     name = {"s": "second", "m": "minute", "h": "hour", "d": "day", "w": "week", "M": "month", "q": "quarter", "y": "year"}[unit]
     return F.date_trunc(name, c.cast("timestamp")).cast("timestamp_ntz")
@@ -304,11 +355,20 @@ def key_column(level: Level, kind: str, p: dict) -> Column | None:
         col = level.col(p["field"])[0].cast("timestamp_ntz")
         return _ranges(col, _range_bounds(p, True, now), lambda t: F.lit(t.isoformat(sep=" ")).cast("timestamp_ntz"))
     if kind == "ip_range":
-        return _ranges(_ipv4(level.col(p["field"])[0]), [_ip_bounds(r) for r in p["ranges"]], F.lit)
+        return _ranges(_ip_key(level.col(p["field"])[0]), [_ip_bounds(r) for r in p["ranges"]], F.lit)
     if kind == "ip_prefix":
-        shift = 32 - int(p["prefix_length"])
-        v = F.shiftleft(F.shiftright(_ipv4(level.col(p["field"])[0]), shift), shift)
-        return F.when(v.isNotNull(), F.concat_ws(".", *[F.pmod(F.shiftright(v, s), F.lit(256)).cast("string") for s in (24, 16, 8, 0)]))
+        # Of version 4 unless ``is_ipv6``; addresses of the other version have no bucket, as the prefix says nothing of them.
+        six, n = bool(p.get("is_ipv6")), int(p["prefix_length"])
+        h = _ip_key(level.col(p["field"])[0])
+        is4 = h.startswith("0" * 20 + "ffff")
+        digits = F.when(is4 != F.lit(six), h if six else F.substring(h, 25, 8))
+        whole, bits = n // 4, n % 4
+        part = F.conv(F.substring(digits, whole + 1, 1), 16, 10).cast("int")
+        middle = F.lower(F.hex(part - part % (1 << (4 - bits)))) if bits else F.lit("")
+        kept = F.rpad(F.concat(F.substring(digits, 1, whole), middle), 32 if six else 8, "0")
+        if six:
+            return F.when(kept.isNotNull(), F.concat_ws(":", *[F.substring(kept, 4 * i + 1, 4) for i in range(8)]))
+        return F.when(digits.isNotNull(), F.concat_ws(".", *[F.conv(F.substring(kept, 2 * i + 1, 2), 16, 10) for i in range(4)]))
     if kind == "histogram":
         i, o = float(p["interval"]), float(p.get("offset", 0))
         return F.floor((_number(level, p) - o) / i) * i + o
@@ -317,8 +377,12 @@ def key_column(level: Level, kind: str, p: dict) -> Column | None:
         if unit:
             if unit not in dates.CALENDAR:
                 raise QueryError(f"not a calendar interval: {unit}")
-            return calendar_floor(level.col(p["field"])[0], dates.CALENDAR[unit])
+            return from_zone(calendar_floor(to_zone(level.col(p["field"])[0], p.get("time_zone")), dates.CALENDAR[unit]), p.get("time_zone"))
         step = dates.interval_ms(p.get("fixed_interval") or p["interval"])
+        if p.get("time_zone"):  # cells begin at the zone's midnight
+            local = to_zone(level.col(p["field"])[0].cast("timestamp_ntz"), p["time_zone"])
+            ms = F.unix_millis(local.cast("timestamp"))
+            return from_zone(_from_ms(F.floor(ms / step) * step), p["time_zone"])
         o = p.get("offset", 0)
         if isinstance(o, str):
             o = -dates.interval_ms(o[1:]) if o[0] == "-" else dates.interval_ms(o.lstrip("+"))
@@ -392,6 +456,13 @@ def fill_gaps(buckets: DataFrame, keys: list[str], p: dict, date: bool, unit: st
         fl = lambda c: calendar_floor(c, unit) if date and unit else _from_ms(F.floor(F.expr("1") * F.unix_millis(c.cast("timestamp")) / step) * step) if date else F.floor(c / step) * step
         ends = ends.withColumn("__lo", F.least("__lo", fl(as_lit(b["min"])))).withColumn("__hi", F.greatest("__hi", fl(as_lit(b["max"]))))
     limit = int(options.get("max_buckets", MAX_BUCKETS))
+    zone = p.get("time_zone") if date else None
+    if zone:
+        ends = ends.withColumns({c: to_zone(F.col(c), zone) for c in ("__lo", "__hi")})
+    if date:
+        width = float(step or {"M": 28, "q": 84, "y": 365}.get(unit, 0) * 86_400_000 or dates.UNIT_MS[unit])
+        many = (F.unix_millis(F.col("__hi").cast("timestamp")) - F.unix_millis(F.col("__lo").cast("timestamp"))) / width >= limit
+        ends = ends.withColumn("__hi", F.when(many, F.raise_error(F.lit(f"Trying to create too many buckets: over {limit}")).cast("timestamp_ntz")).otherwise(F.col("__hi")))
     if date and unit:
         n = {"s": "1 second", "m": "1 minute", "h": "1 hour", "d": "1 day", "w": "7 day", "M": "1 month", "q": "3 month", "y": "1 year"}[unit]
         cells = F.expr(f"sequence(__lo, __hi, interval {n})")
@@ -401,6 +472,8 @@ def fill_gaps(buckets: DataFrame, keys: list[str], p: dict, date: bool, unit: st
         count = F.round((F.col("__hi") - F.col("__lo")) / step).cast("int")
         count = F.when(count >= limit, F.raise_error(F.lit(f"Trying to create too many buckets: over {limit}")).cast("int")).otherwise(count)
         cells = F.transform(F.sequence(F.lit(0), count), lambda i: F.col("__lo") + i * step)
+    if zone:
+        cells = F.transform(cells, lambda c: from_zone(c, zone))
     spine = ends.where("__lo is not null").select(*parents, F.explode(cells).alias(name))
     out = spine.join(buckets, keys, "left")
     out = out.fillna(0, subset=[c for c in zero if c in out.columns])
@@ -515,6 +588,8 @@ def _finish(inner: Level, name: str, kind: str, p: dict, subs: dict) -> DataFram
                     table = fill_gaps(table, inner.keys, p, True, dates.CALENDAR[unit] if unit else None, None if unit else dates.interval_ms(p.get("fixed_interval") or p["interval"]), zero, inner.options)
         elif least > 1:
             table = table.where(F.col("doc_count") >= least)
+        if kind == "date_histogram":
+            table = key_strings(table, name, p)
     elif kind in ("filters", "range", "date_range", "ip_range", "geo_distance"):
         # Empty ranges and filters are buckets too.
         if kind == "filters":

@@ -349,7 +349,25 @@ class Compiler:
             finally:
                 self.ctx.scope = outer
 
-        return self.const(F.exists(col, inner), b.get("boost", 1.0))
+        c = self.const(F.exists(col, inner), b.get("boost", 1.0))
+        mode = b.get("score_mode", "none")  # without one the score is constant, as upstream has it
+        if mode == "none":
+            return c
+
+        def score(x: Column) -> Column:
+            self.ctx.scope = (path, x)
+            try:
+                one = self.compile(b["query"])
+                return F.when(sure(one.match), one.score.cast("double"))
+            finally:
+                self.ctx.scope = outer
+
+        scores = F.filter(F.transform(col, score), lambda s: s.isNotNull())
+        added = F.aggregate(scores, F.lit(0.0), lambda a, s: a + s)
+        by = {"sum": added, "avg": added / F.size(scores), "max": F.array_max(scores), "min": F.array_min(scores)}
+        if mode not in by:
+            raise QueryError(f"unknown score_mode {mode}")
+        return Clause(c.match, F.coalesce(by[mode], F.lit(0.0)) * float(b.get("boost", 1.0)))
 
     # compound
     def q_bool(self, b):

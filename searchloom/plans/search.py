@@ -5,6 +5,7 @@ from __future__ import annotations
 import fnmatch
 import json
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
@@ -138,7 +139,11 @@ def search(df: DataFrame, body: dict, id: str = "_id", **options) -> SearchResul
     The hits carry the requested fields and ``_score``; and, where asked for, ``highlight_<field>``, ``matched_queries`` and
     the names of script fields. Aggregations are under ``aggs``, as one table per path of names.
     """
+    tables = options.pop("tables", {})
     for name, p in (body.get("runtime_mappings") or {}).items():
+        if p.get("type") == "lookup":
+            df = lookup_field(df, name, p, tables)
+            continue
         kind = {"long": "bigint", "double": "double", "boolean": "boolean", "date": "timestamp_ntz"}.get(p.get("type"), "string")
         df = df.withColumn(name, compile_script(p["script"], df.schema).cast(kind))
     query = body.get("query", {"match_all": {}})
@@ -207,7 +212,11 @@ def search(df: DataFrame, body: dict, id: str = "_id", **options) -> SearchResul
         pre, post = (hl.get("pre_tags") or ["<em>"])[0], (hl.get("post_tags") or ["</em>"])[0]
         for f in hl["fields"]:
             words = sorted({t for g, t in clause.text_terms if g == f or not hl.get("require_field_match", True)})
-            marks.append(text.highlight(F.col(f), words, pre, post).alias(f"highlight_{f}"))
+            how = hl | hl["fields"][f]
+            if how.get("number_of_fragments", "fragment_size" in how):
+                marks.append(text.fragments(F.col(f), words, pre, post, int(how.get("fragment_size", 100)), int(how.get("number_of_fragments", 5))).alias(f"highlight_{f}"))
+            else:
+                marks.append(text.highlight(F.col(f), words, pre, post).alias(f"highlight_{f}"))
     for f in body.get("docvalue_fields") or body.get("fields") or []:
         f = {"field": f} if isinstance(f, str) else f
         col = ctx.resolve(f["field"])[0]
@@ -215,6 +224,43 @@ def search(df: DataFrame, body: dict, id: str = "_id", **options) -> SearchResul
     return SearchResult(page.select(*_select(kept, id), "_score", *extra, *marks), matched, aggs, inner)
 
 
+def lookup_field(df: DataFrame, name: str, p: dict, tables: dict[str, DataFrame]) -> DataFrame:
+    """``df`` with an array of structs: the ``fetch_fields`` of the target's rows whose ``target_field`` has the row's ``input_field``; null without any."""
+    from searchloom.lookup import lookup_join
+
+    if p["target_index"] not in tables:
+        raise QueryError(f"no table {p['target_index']} to look {name} up in")
+    fetch = [f if isinstance(f, str) else f["field"] for f in p["fetch_fields"]]
+    key = p["input_field"]
+    t = tables[p["target_index"]].where(F.col(p["target_field"]).isNotNull())
+    found = t.groupBy(F.col(p["target_field"]).alias(key)).agg(F.sort_array(F.collect_set(F.struct(*fetch))).alias(name))
+    return lookup_join(df, found, [key], "left")
+
+
+class PointInTime:
+    """A table as it is now, written apart, and pages of a search over it that no later change shifts."""
+
+    def __init__(self, df: DataFrame, id: str = "_id"):  # noqa: A002
+        from searchloom.scratch import materialize
+
+        self.df, self.id = materialize(df, "point-in-time"), id
+
+    def scroll(self, body: dict, size: int = 1000, **options) -> Iterator[list]:
+        """The hits page by page, each read from where the last one ended; sorted by the id unless the request says otherwise."""
+        sort = list(body.get("sort") or [])
+        names = [s if isinstance(s, str) else next(iter(s)) for s in sort]
+        last = None
+        while True:
+            page = dict(body) | {"size": size, "sort": sort or [{self.id: "asc"}]} | ({"search_after": last} if last else {})
+            rows = search(self.df, page, self.id, **options).hits.collect()  # one page
+            if not rows:
+                return
+            yield rows
+            last = [*[rows[-1][n] for n in names], *([] if self.id in names else [rows[-1][self.id]])] if sort else [rows[-1][self.id]]
+            if len(rows) < size:
+                return
+
+
 def _inner_hits(body: dict) -> list[dict]:
     """The inner hits that a collapse asks for, each with a name."""
     spec = (body.get("collapse") or {}).get("inner_hits") or []

@@ -103,7 +103,8 @@ def d_anomaly_buckets(spark, sf):
 
 
 def d_anomaly_score(spark, sf):
-    return anomaly.score(anomaly.buckets(table(spark, sf, "events"), "ts", "1 hour", "count", by=["event_type"]), ["event_type"])
+    s = anomaly.score(anomaly.buckets(table(spark, sf, "events"), "ts", "1 hour", "count", by=["event_type"]), ["event_type"])
+    return s.select("event_type", "bucket", "value", *[F.round(c, 6).alias(c) for c in ("expected", "std", "z", "score")], "anomaly")
 
 
 def d_key_overlap(spark, sf):

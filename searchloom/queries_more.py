@@ -5,19 +5,21 @@ from __future__ import annotations
 import json
 import sqlite3
 import zipfile
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from searchloom import catalog
 from searchloom.functions import embed as emb
-from searchloom.operators import graph, memory
+from searchloom.operators import graph, memory, transforms
 from searchloom.operators.textindex import TextIndex
 from searchloom.operators.vectorindex import VectorIndex
 from searchloom.plans import query, search
+from searchloom.plans.eql import parse_eql
 from searchloom.queries_aggs import PRICE, _agg, _metric
 from searchloom.queries_data import AS_OF
-from searchloom.queries_search import _hits, _knn_sql, _where, bm25, table, tok
+from searchloom.queries_search import CUSTOMER_GEO, _hits, _knn_sql, _orders_nested, _where, bm25, table, tok
 from searchloom.scratch import scratch_path
 from searchloom.sources import infer, ingest, logs, readers
 from searchloom.streaming import jobs
@@ -177,6 +179,76 @@ def s_inner_hits(spark, sf):
     return r.inner["dear"].select("o_custkey", "o_orderkey", F.col("o_totalprice").alias("price"), "rank")
 
 
+def d_eql(spark, sf):
+    q = parse_eql('any where (level : "err*" or duration_ms > 5000) and stack_trace != null and not service in ("indexer", "gateway")')
+    df = table(spark, sf, "error_logs")
+    return df.where(query.compile_query(df, q, id="span_id")[0].match).groupBy("service").agg(F.count("*").alias("n"))
+
+
+def d_eql_category(spark, sf):
+    q = parse_eql('click where value >= 10 and value < 20', "event_type")
+    df = table(spark, sf, "events")
+    return df.where(query.compile_query(df, q, id="event_id")[0].match).select("event_id")
+
+
+def d_pivot(spark, sf):
+    config = {"query": {"term": {"o_orderstatus": "F"}}, "pivot": {"group_by": {"c": {"terms": {"field": "o_custkey"}}, "m": {"date_histogram": {"field": "o_orderdate", "calendar_interval": "year"}}}, "aggregations": {"spent": {"sum": {"field": "o_totalprice"}}, "dearest": {"max": {"field": "o_totalprice"}}}}}
+    t = transforms.pivot(table(spark, sf, "orders"), config, "o_orderkey")
+    return t.select("c", "m", "doc_count", F.round("spent", 2).alias("spent"), "dearest")
+
+
+def d_rollup_job(spark, sf):
+    config = {"groups": {"date_histogram": {"field": "ts", "calendar_interval": "day"}, "terms": {"fields": ["event_type"]}}, "metrics": [{"field": "value", "metrics": ["avg", "max"]}]}
+    t = transforms.rollup(table(spark, sf, "events"), config, "event_id")
+    return t.select(F.col("ts").alias("day"), "event_type", "doc_count", F.round("value_sum", 4).alias("total"), F.col("value_value_count").alias("n"), F.col("value_max").alias("highest"))
+
+
+def s_lookup_field(spark, sf):
+    """Fields of another table as a runtime field."""
+    body = {"runtime_mappings": {"nation": {"type": "lookup", "target_index": "nation", "input_field": "c_nationkey", "target_field": "n_nationkey", "fetch_fields": ["n_name"]}}, "sort": ["c_custkey"], "size": 30}
+    h = search.search(table(spark, sf, "customer"), body, "c_custkey", tables={"nation": table(spark, sf, "nation")}).hits
+    return h.select("c_custkey", F.get("nation", 0)["n_name"].alias("n_name"))
+
+
+def s_scroll(spark, sf):
+    """All hits of a point in time, page by page: as many as there are, none twice."""
+    p = search.PointInTime(table(spark, sf, "customer"), "c_custkey")
+    total, keys = 0, set()
+    for page in p.scroll({"query": {"term": {"c_mktsegment": "BUILDING"}}, "sort": [{"c_nationkey": "desc"}]}, 1000):
+        total += len(page)
+        keys |= {r["c_custkey"] for r in page}
+    return spark.createDataFrame([(total, len(keys))], "hits bigint, different bigint")
+
+
+def c_policy(spark, sf):
+    """Three ticks of a lifecycle: rolled over when it is large, read-only after a day, deleted after a week."""
+    c = catalog.Catalog()
+    c.add("logs-000001", table(spark, sf, "error_logs"), created=datetime(2025, 1, 1))
+    c.aliases["logs"] = ["logs-000001"]
+    policy = {"default_state": "hot", "states": [
+        {"name": "hot", "actions": [{"rollover": {"max_docs": 100, "max_age": "30d"}}], "transitions": [{"state_name": "warm", "conditions": {"min_index_age": "1d"}}]},
+        {"name": "warm", "actions": [{"read_only": {}}], "transitions": [{"state_name": "gone", "conditions": {"min_index_age": "7d"}}]},
+        {"name": "gone", "actions": [{"delete": {}}], "transitions": []}]}
+    done = []
+    for tick, day in enumerate((1, 3, 9, 10)):
+        done += [(tick, *x) for x in c.apply_policy("logs", policy, datetime(2025, 1, day))]
+    return spark.createDataFrame([*done, (9, ",".join(c.aliases["logs"]), "", "left")], "tick int, name string, state string, action string")
+
+
+def _mixed_ip(df: DataFrame, *_) -> DataFrame:
+    """Addresses of both versions, in short and long notation."""
+    u = F.pmod(F.col("user_id"), F.lit(200))
+    return df.withColumn("ip", F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("10.0.0."), u.cast("string"))).otherwise(F.concat(F.lit("2001:DB8::"), F.lower(F.hex(u)))))
+
+
+def _fragments(spark, sf):
+    """The marked pieces of the best documents for two words."""
+    body = {"query": {"match": {"text": "token cache"}}, "size": 50, "highlight": {"fields": {"text": {"fragment_size": 40, "number_of_fragments": 2}}}}
+    h = search.search(table(spark, sf, "documents"), body, "doc_id").hits
+    part = F.transform("highlight_text", lambda x: F.regexp_replace(x, "</?em>", ""))
+    return h.select("doc_id", (F.size("highlight_text").between(1, 2)).alias("some_"), F.forall(part, lambda x: F.length(x) <= 40).alias("short"))
+
+
 def _script(name: str, key: str, scripts: dict[str, str], prepare=None):
     """Script fields over whole tables."""
 
@@ -483,6 +555,13 @@ QUERIES = {k: f for k, f in list(globals().items()) if k[:2] in ("t_", "v_", "c_
     "v_knn_k": _hits("embeddings", "vec_id", {"query": {"knn": {"field": "embedding", "query_vector": KNN, "k": 5}}, "size": 50}, [], digits=5),
     "m_percentiles_hdr": _metric("percentiles", PRICE | {"percents": [50, 95], "hdr": {"number_of_significant_value_digits": 2}}),
     "m_boxplot_whiskers": _metric("boxplot", PRICE | {"whiskers": True}),
+    "b_date_histogram_zone": _agg("orders", "o_orderkey", {"k": {"date_histogram": {"field": "o_orderdate", "calendar_interval": "month", "time_zone": "+05:30", "format": "yyyy-MM", "keyed": True}}}, "k"),
+    "b_date_histogram_cells": _agg("events", "event_id", {"k": {"date_histogram": {"field": "ts", "fixed_interval": "6h", "time_zone": "-01:00"}}}, "k"),
+    "b_date_range_zone": _agg("orders", "o_orderkey", {"k": {"date_range": {"field": "o_orderdate", "time_zone": "+02:00", "ranges": [{"to": "1995-03-01", "key": "old"}, {"from": "1995-03-01", "key": "new"}]}}}, "k"),
+    "b_ip_mixed": _agg("events", "event_id", {"k": {"ip_range": {"field": "ip", "ranges": [{"mask": "2001:db8::/33", "key": "six"}, {"mask": "10.0.0.0/24", "key": "four"}]}}}, "k", prepare=_mixed_ip),
+    "b_ip_prefix6": _agg("events", "event_id", {"k": {"ip_prefix": {"field": "ip", "prefix_length": 125, "is_ipv6": True}}}, "k", prepare=_mixed_ip),
+    "q_nested_score": _hits("orders", "o_orderkey", {"query": {"nested": {"path": "lines", "score_mode": "sum", "query": {"constant_score": {"filter": {"range": {"lines.l_quantity": {"gte": 40}}}, "boost": 2.0}}}}, "size": 30}, [], prepare=_orders_nested),
+    "t_fragments": _fragments,
     "b_percentiles": _agg("lineitem", "l_orderkey", {"k": {"terms": {"field": "l_returnflag"}, "aggs": {"p": {"percentiles": {"field": "l_extendedprice", "percents": [10, 50]}}, "d": {"median_absolute_deviation": {"field": "l_quantity"}}}}}, "k"),
 }
 
@@ -490,7 +569,42 @@ _W = f"coalesce({tok('text')}, [])"
 _NATION = "select n_nationkey::bigint n_nationkey, n_name from nation"
 _EMB = "[" + ", ".join(map(str, KNN)) + "]::double[]"
 
+_BITS = [f"((x >> {7 - b // 2}) & 1)" if b % 2 == 0 else f"((y >> {6 - b // 2}) & 1)" for b in range(15)]
+_LETTERS = " || ".join("substr('0123456789bcdefghjkmnpqrstuvwxyz', (" + " + ".join(f"{_BITS[5 * k + j]} * {1 << (4 - j)}" for j in range(5)) + " + 1)::int, 1)" for k in range(3))
+#: Ranges joined to the rows that they hold, so that an empty range has a row.
+_TWO = "(values ('{a}'), ('{b}')) v(k) left join {rows} on v.k = case when {cond} then '{a}' else '{b}' end"
+
 SQL = {
+    "b_geohash": f"select {_LETTERS} k, count(*) doc_count from (select least(floor((lon + 180) / 360 * 256)::bigint, 255) x, least(floor((lat + 90) / 180 * 128)::bigint, 127) y from {CUSTOMER_GEO}) group by 1",
+    "b_vwh": """with recursive c as (select p_retailprice v, count(*) n from part where p_retailprice is not null group by 1),
+s as (select list(n order by v) n, list(v * n order by v) t, list(v order by v) lo, list(v order by v) hi from c),
+g as (select *, list_transform(range(1, len(n)), lambda i: t[i + 1] / n[i + 1] - t[i] / n[i]) d from s),
+r as (select n, t, lo, hi, list_position(d, list_min(d))::int m from g
+      union all
+      select n, t, lo, hi, list_position(d, list_min(d))::int m from (select *, list_transform(range(1, len(n)), lambda i: t[i + 1] / n[i + 1] - t[i] / n[i]) d from
+        (select n[:m - 1] || [n[m] + n[m + 1]] || n[m + 2:] n, t[:m - 1] || [t[m] + t[m + 1]] || t[m + 2:] t, lo[:m] || lo[m + 2:] lo, hi[:m - 1] || hi[m + 1:] hi from r where len(n) > 6))),
+f as (select * from r order by len(n) limit 1)
+select round(unnest(list_transform(range(1, len(n) + 1), lambda i: t[i] / n[i])), 4) k, round(unnest(lo), 4) as min, round(unnest(hi), 4) as max, unnest(n) doc_count from f""",
+    "d_anomaly_score": """with recursive b as (select event_type, date_trunc('hour', ts)::timestamp bucket, count(*)::double as value from events group by 1, 2),
+o as (select *, row_number() over (partition by event_type order by bucket) i from b),
+r as (select event_type, bucket, value, i, null::double expected, null::double std, null::double z, false anomaly, 1::bigint n, value mean, 0.0::double m2 from o where i = 1
+      union all
+      select event_type, bucket, value, i, expected, std, z, anomaly, case when anomaly then n else n + 1 end, case when anomaly then mean else mean + (value - mean) / (n + 1) end,
+             case when anomaly then m2 else m2 + (value - mean) * (value - (mean + (value - mean) / (n + 1))) end
+      from (select *, coalesce(abs(z) > 3, false) anomaly from
+        (select *, case when expected is null then null when std > 0 then (value - expected) / std when value = expected then 0 when value > expected then 'inf'::double else '-inf'::double end z from
+          (select o.event_type, o.bucket, o.value, o.i, case when r.n >= 4 then r.mean end expected, case when r.n >= 4 then sqrt(r.m2 / r.n) end std, r.n, r.mean, r.m2 from r join o on o.event_type = r.event_type and o.i = r.i + 1))))
+select event_type, bucket, value, round(expected, 6) expected, round(std, 6) std, round(z, 6) z, round(coalesce(100 * (1 - pow(2, -abs(z) / 3)), 0), 6) score, anomaly from r""",
+    "b_date_histogram_zone": """with l as (select date_trunc('month', o_orderdate::timestamp + interval 330 minute) m from orders), e as (select min(m) a, max(m) b from l),
+g as (select unnest(generate_series(a, b, interval 1 month)) m from e)
+select g.m - interval 330 minute k, count(l.m) doc_count, strftime(g.m, '%Y-%m') k_as_string from g left join l using (m) group by g.m""",
+    "b_date_histogram_cells": """with l as (select time_bucket(interval 6 hour, ts - interval 1 hour, timestamp '1970-01-01') m from events), e as (select min(m) a, max(m) b from l), g as (select unnest(generate_series(a, b, interval 6 hour)) m from e)
+select g.m + interval 1 hour k, count(l.m) doc_count, strftime(g.m, '%Y-%m-%dT%H:%M:%S.000-01:00') k_as_string from g left join l using (m) group by g.m""",
+    "b_date_range_zone": "select v.k, count(o_orderkey) doc_count from " + _TWO.format(a="old", b="new", rows="orders", cond="o_orderdate::timestamp + interval 2 hour < timestamp '1995-03-01'") + " group by v.k",
+    "b_ip_mixed": "select v.k, count(event_id) doc_count from " + _TWO.format(a="four", b="six", rows="events", cond="event_id % 2 = 0") + " group by v.k",
+    "b_ip_prefix6": "select '2001:0db8:0000:0000:0000:0000:0000:' || lpad(printf('%x', ((user_id % 200) // 8 * 8)), 4, '0') k, count(*) doc_count from events where event_id % 2 = 1 group by 1",
+    "q_nested_score": "select o_orderkey, score from (select l_orderkey o_orderkey, round(2.0 * count(*) filter (where l_quantity >= 40), 6)::double score from lineitem where l_orderkey in (select o_orderkey from orders) group by 1 having score > 0) order by score desc, o_orderkey limit 30",
+    "t_fragments": "with " + bm25("documents", "doc_id", "text", ["token", "cache"]) + " select doc_id, true as some_, true as short from b where score > 0 order by b.score desc, doc_id limit 50",
     "t_index_bm25": "with " + bm25("documents", "doc_id", "text", ["token", "cache", "replica"]) + " select doc_id, round(score, 6) score from b where score > 0 order by b.score desc, doc_id limit 25",
     "t_index_and": f"select doc_id from documents where list_contains({_W}, 'token') and list_contains({_W}, 'cache')",
     "t_index_phrase": f"select doc_id from documents where contains(' ' || array_to_string({_W}, ' ') || ' ', ' the token cache ')",
@@ -533,6 +647,13 @@ from lineitem, q where l_extendedprice between a - 1.5 * (c - a) and c + 1.5 * (
     "d_flatten": "select n_nationkey c0, n_name c1 from nation",
     "d_bulk_results": """with a as (select n_nationkey k, ['index', 'create', 'update', 'delete', 'upsert'][(n_nationkey % 5 + 1)::int] action from nation)
 select action, case when action = 'index' and k % 10 = 0 then 'conflict' when action = 'index' then 'updated' when action = 'create' then 'conflict' when action = 'update' then 'updated' when action = 'delete' then 'deleted' else 'created' end result, count(*) n from a group by 1, 2""",
+    "d_eql": "select service, count(*) n from error_logs where (lower(level) like 'err%' or duration_ms > 5000) and stack_trace is not null and coalesce(service not in ('indexer', 'gateway'), true) group by 1",
+    "d_eql_category": "select event_id from events where event_type = 'click' and value >= 10 and value < 20",
+    "d_pivot": "select o_custkey c, date_trunc('year', o_orderdate)::timestamp m, count(*) doc_count, round(sum(o_totalprice), 2) spent, max(o_totalprice) dearest from orders where o_orderstatus = 'F' group by 1, 2",
+    "d_rollup_job": "select date_trunc('day', ts)::timestamp as day, event_type, count(*) doc_count, round(sum(value), 4) total, count(value) n, max(value) highest from events group by 1, 2",
+    "s_lookup_field": "select c_custkey, n_name from customer left join nation on c_nationkey = n_nationkey order by c_custkey limit 30",
+    "s_scroll": "select count(*) hits, count(distinct c_custkey) as different from customer where c_mktsegment = 'BUILDING'",
+    "c_policy": "select * from (values (0, 'logs-000001', 'hot', 'rollover'), (2, 'logs-000001', 'warm', 'read_only'), (2, 'logs-000002', 'warm', 'read_only'), (3, 'logs-000001', 'gone', 'delete'), (3, 'logs-000002', 'gone', 'delete'), (9, '', '', 'left')) t(tick, name, state, action)",
     "r_csv": "select c_custkey, c_name, c_acctbal from customer",
     "r_jsonl": "select c_custkey, c_name from customer",
     "r_html": "select 'Nations' title, count(*)::int links from nation",
