@@ -31,6 +31,9 @@ from searchloom.scratch import materialize
 #: Letters and signs of other alphabets or codes, each above the ordinary one it looks like.
 LOOKALIKE_FROM = "аеорсухіјѕһԁԛԝӏАВЕКМНОРСТХІЈЅУԚԜΑΒΕΖΗΙΚΜΝΟΡΤΥΧονɑɡօ∕⁄∗∶ǃ․‐"
 LOOKALIKE_TO = "aeopcyxijshdqwlABEKMHOPCTXIJSYQWABEZHIKMNOPTYXovago//*:!.-"
+#: Greek letters, each above the Cyrillic one it looks like, that look like no Latin one.
+GREEK_FROM = "ΓΠΦΘΨκθψ"
+GREEK_TO = "ГПФѲѰкѳѱ"
 #: Compatibility kinds of a character that are the same to a reader. Raised, lowered, circled and fraction forms are not.
 SAME_LOOK = ("<wide>", "<narrow>", "<noBreak>", "<font>")
 #: Compatibility characters of kind <compat> that are the same to a reader: Roman numerals, ligatures, the micro sign.
@@ -71,7 +74,7 @@ def _char_class(codes: list[int], escape) -> str:
 @lru_cache(maxsize=1)
 def tables() -> Tables:
     """The properties of all characters, from the interpreter's character database; made once per process."""
-    fold = dict(zip(map(ord, LOOKALIKE_FROM), LOOKALIKE_TO))
+    fold = dict(zip(map(ord, LOOKALIKE_FROM + GREEK_FROM), LOOKALIKE_TO + GREEK_TO))
     unstable = set(fold)
     for c in range(0x110000):
         if 0xD800 <= c <= 0xDFFF or 0xAC00 <= c <= 0xD7A3 or 0x4E00 <= c <= 0x9FFF:

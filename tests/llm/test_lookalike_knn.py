@@ -13,6 +13,10 @@ SAME = [("ａｂｃ１！", "abc1!"), ("é", "é"), ("a​b­c﻿", "abc"), ("a
 DIFFERENT = [("a", "A"), ("e", "é"), ("x²", "x2"), ("H₂O", "H2O"), ("a  b", "a b"), ("a\nb", "a b"), ("a.b", "a!b"), ("0", "O"), ("1", "l"), ("½", "1/2"), ("a–b", "a-b"), ("’", "'"), ("👩‍💻", "👩💻"), ("①", "1"), ("é", "ė")]
 
 
+SAME += [("Пepeд", "Πepeд"), ("Γ Φ κ", "Г Ф к")]
+DIFFERENT += [("Λ", "Л"), ("π", "п"), ("Δ", "Д")]
+
+
 @pytest.mark.parametrize("a,b", SAME)
 def test_same_look(a, b):
     assert lookalike.canonical(a) == lookalike.canonical(b)
