@@ -84,12 +84,57 @@ def sniff(data: bytes, name: str = "") -> dict:
     return out | {"family": "prose" if sum(words) / len(words) >= 8 else "lines"}
 
 
+def families(spark: SparkSession, path: str) -> dict[str, dict]:
+    """What :func:`sniff` says of every file of a path, folder or pattern; the first ``HEAD`` bytes of each are read."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    todo, out = list(fs.globStatus(p) or []), {}
+    while todo:
+        f = todo.pop()
+        name = f.getPath().getName()
+        if f.isDirectory():
+            todo += list(fs.listStatus(f.getPath()))
+        elif not name.startswith(("_", ".")):
+            stream = fs.open(f.getPath())
+            try:
+                head = bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(jvm.org.apache.commons.io.input.BoundedInputStream(stream, HEAD)))
+            finally:
+                stream.close()
+            out[f.getPath().toString()] = sniff(head, name) | {"head": head}
+    return out
+
+
 def read_any(spark: SparkSession, path: str) -> DataFrame:
-    """A file or folder by the format of its first file."""
-    head = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, HEAD).alias("c"), "path").orderBy("path").first()
-    if head is None:
+    """A file, or a folder of files of one format (empty ones aside); files of several formats are refused, :func:`read_folder` takes those."""
+    kinds = families(spark, path)
+    if not kinds:
         raise FileNotFoundError(path)
-    kind = sniff(bytes(head["c"]), head["path"])
+    full = {n: k for n, k in sorted(kinds.items()) if k["family"] != "empty"} or kinds
+    found = {k["family"] for k in full.values()}
+    if len(found) > 1:
+        raise ValueError(f"files of several formats: {sorted(found)}")
+    return _read(spark, path, next(iter(full.values())))
+
+
+def read_folder(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The files of a folder as one table per format."""
+    by: dict[str, list[str]] = {}
+    kinds = families(spark, path)
+    for name, k in sorted(kinds.items()):
+        if k["family"] != "empty":
+            by.setdefault(k["family"], []).append(name)
+    out = {}
+    for family, names in by.items():
+        for name in names:
+            part = _read(spark, name, kinds[name])
+            out[family] = part if family not in out else out[family].unionByName(part, allowMissingColumns=True)
+    return out
+
+
+def _read(spark: SparkSession, path: str, kind: dict) -> DataFrame:
+    """Files of the format that their first one shows."""
+    head = {"c": kind["head"]}
     family = kind["family"]
     if family == "csv":
         df = spark.read.csv(path, sep=kind["separator"], header=kind["header"], inferSchema=True, encoding=kind["encoding"])

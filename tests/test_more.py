@@ -18,7 +18,7 @@ from searchloom.operators.vectorindex import VectorIndex
 from searchloom.plans.eql import parse_eql
 from searchloom.plans.query import QueryError, compile_query
 from searchloom.plans.search import search
-from searchloom.sources import ingest
+from searchloom.sources import ingest, readers
 
 
 def test_quantiles_equal_brute_force(spark):
@@ -203,3 +203,16 @@ def test_negated_query_of_nulls(spark):
     df = spark.createDataFrame([(1, "a"), (2, None)], "_id int, k string")
     assert df.where(compile_query(df, parse_eql('any where k != "a"'))[0].match).count() == 0
     assert df.where(compile_query(df, parse_eql("any where k == null"))[0].match).count() == 1
+
+
+def test_files_of_several_formats(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes(b"a,b\n1,2\n3,4\n")
+    (tmp_path / "b.jsonl").write_bytes(b'{"a":1}\n{"a":2}\n{"a":3}\n')
+    (tmp_path / "c.csv").write_bytes(b"a,c\n1,2\n3,4\n")
+    (tmp_path / "_SUCCESS").write_bytes(b"")
+    with pytest.raises(ValueError, match="csv.*jsonl"):
+        readers.read_any(spark, str(tmp_path))
+    got = readers.read_folder(spark, str(tmp_path))
+    assert {k: v.count() for k, v in got.items()} == {"csv": 4, "jsonl": 3} and set(got["csv"].columns) == {"a", "b", "c"}
+    with pytest.raises(FileNotFoundError):
+        readers.read_any(spark, str(tmp_path / "none"))
