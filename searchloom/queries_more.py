@@ -17,8 +17,10 @@ from searchloom.operators.textindex import TextIndex
 from searchloom.operators.vectorindex import VectorIndex
 from searchloom.plans import query, search
 from searchloom.plans.eql import parse_eql
+from searchloom.plans.indexed import IndexedQuery
 from searchloom.queries_aggs import PRICE, _agg, _metric
 from searchloom.queries_data import AS_OF
+from searchloom.queries_search import SQL as _SEARCH_SQL
 from searchloom.queries_search import CUSTOMER_GEO, _hits, _knn_sql, _orders_nested, _where, bm25, table, tok
 from searchloom.scratch import scratch_path
 from searchloom.sources import infer, ingest, logs, readers
@@ -51,6 +53,19 @@ def t_index_suggest(spark, sf):
     return _text_index(spark, sf).suggest("segmant")
 
 
+def _indexed(q: dict, keep: bool = False):
+    """A query over the documents from their postings; with ``keep`` the best 25 with their scores."""
+
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        docs = table(spark, sf, "documents")
+        iq = IndexedQuery(docs, "doc_id", {"text": _text_index(spark, sf)})
+        if keep:
+            return iq.search(q, 25).select("doc_id", F.round("_score", 6).alias("score"))
+        return iq.matches(q).select(F.col("id").alias("doc_id"))
+
+    return run
+
+
 KNN = [((i * 37 % 19) - 9) / 10 for i in range(64)]
 
 
@@ -547,6 +562,11 @@ def x_limits(spark, sf):
 
 
 QUERIES = {k: f for k, f in list(globals().items()) if k[:2] in ("t_", "v_", "c_", "s_", "m_", "d_", "r_", "w_", "g_", "x_") and callable(f)} | {
+    "t_index_search": _indexed({"match": {"text": "token cache replica"}}, True),
+    "t_index_query_string": _indexed({"query_string": {"query": "(token OR vector) AND cache AND n_chars:[100 TO 900] -lang:de", "default_field": "text"}}),
+    "t_index_simple": _indexed({"simple_query_string": {"query": "+token -replica", "fields": ["text"]}}),
+    "t_index_mlt": _indexed({"more_like_this": {"fields": ["text"], "like": ["large index", "snapshot job"]}}),
+    "t_index_bool": _indexed({"bool": {"must": [{"match_phrase": {"text": "the token cache"}}], "should": [{"match": {"text": "replica"}}], "filter": [{"range": {"n_chars": {"gte": 100}}}]}}),
     "q_type": _where("region", "r_regionkey", {"type": {"value": "_doc"}}),
     "q_intersect": _where("part", "p_partkey", {"bool": {"must": [{"range": {"p_size": {"gte": 10}}}, {"prefix": {"p_brand": "Brand#2"}}], "must_not": [{"range": {"p_size": {"gte": 30}}}]}}),
     "t_combined_fields": _where("ai_kb", "id", {"combined_fields": {"query": "question small", "fields": ["title", "content"], "operator": "and"}}),
@@ -605,6 +625,11 @@ select g.m + interval 1 hour k, count(l.m) doc_count, strftime(g.m, '%Y-%m-%dT%H
     "b_ip_prefix6": "select '2001:0db8:0000:0000:0000:0000:0000:' || lpad(printf('%x', ((user_id % 200) // 8 * 8)), 4, '0') k, count(*) doc_count from events where event_id % 2 = 1 group by 1",
     "q_nested_score": "select o_orderkey, score from (select l_orderkey o_orderkey, round(2.0 * count(*) filter (where l_quantity >= 40), 6)::double score from lineitem where l_orderkey in (select o_orderkey from orders) group by 1 having score > 0) order by score desc, o_orderkey limit 30",
     "t_fragments": "with " + bm25("documents", "doc_id", "text", ["token", "cache"]) + " select doc_id, true as some_, true as short from b where score > 0 order by b.score desc, doc_id limit 50",
+    "t_index_search": _SEARCH_SQL["t_bm25"],
+    "t_index_query_string": _SEARCH_SQL["t_query_string"],
+    "t_index_simple": _SEARCH_SQL["t_simple_query_string"],
+    "t_index_mlt": _SEARCH_SQL["t_mlt"],
+    "t_index_bool": f"select doc_id from documents where contains(' ' || array_to_string({_W}, ' ') || ' ', ' the token cache ') and n_chars >= 100",
     "t_index_bm25": "with " + bm25("documents", "doc_id", "text", ["token", "cache", "replica"]) + " select doc_id, round(score, 6) score from b where score > 0 order by b.score desc, doc_id limit 25",
     "t_index_and": f"select doc_id from documents where list_contains({_W}, 'token') and list_contains({_W}, 'cache')",
     "t_index_phrase": f"select doc_id from documents where contains(' ' || array_to_string({_W}, ' ') || ' ', ' the token cache ')",

@@ -16,6 +16,7 @@ from searchloom.operators.quantiles import exact_quantiles
 from searchloom.operators.textindex import TextIndex
 from searchloom.operators.vectorindex import VectorIndex
 from searchloom.plans.eql import parse_eql
+from searchloom.plans.indexed import IndexedQuery
 from searchloom.plans.query import QueryError, compile_query
 from searchloom.plans.search import search
 from searchloom.sources import ingest, readers
@@ -216,3 +217,31 @@ def test_files_of_several_formats(spark, tmp_path):
     assert {k: v.count() for k, v in got.items()} == {"csv": 4, "jsonl": 3} and set(got["csv"].columns) == {"a", "b", "c"}
     with pytest.raises(FileNotFoundError):
         readers.read_any(spark, str(tmp_path / "none"))
+
+
+def test_indexed_queries_equal_the_scan(spark):
+    rng = random.Random(7)
+    words = "token cache replica index vector job queue the of".split()
+    rows = [(i, " ".join(rng.choices(words, k=rng.randrange(0, 12))) or None, " ".join(rng.choices(words, k=3)), rng.randrange(100)) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, title string, n int")
+    indexes = {f: TextIndex(spark, scratch.scratch_path(spark, "t")).add(df, "doc_id", f) for f in ("text", "title")}
+    iq = IndexedQuery(df, "doc_id", indexes)
+    for q in (
+        {"bool": {"must": [{"match": {"text": "token cache"}}], "must_not": [{"match": {"title": "job"}}], "should": [{"match_phrase": {"text": "the token"}}, {"range": {"n": {"gte": 50}}}]}},
+        {"bool": {"should": [{"match": {"text": "token"}}, {"match": {"title": "queue"}}, {"term": {"n": 5}}], "minimum_should_match": 2}},
+        {"bool": {"must_not": [{"match": {"text": "token"}}]}},
+        {"bool": {"filter": [{"match": {"text": {"query": "token cache", "operator": "and"}}}]}},
+        {"multi_match": {"query": "token vector", "fields": ["title^2", "text"], "tie_breaker": 0.3}},
+        {"multi_match": {"query": "token vector", "fields": ["title", "text"], "type": "most_fields"}},
+        {"query_string": {"query": "token AND (cache OR title:queue) -replica"}},
+        {"constant_score": {"filter": {"match": {"text": "vector"}}, "boost": 2.0}},
+        {"match_phrase": {"text": {"query": "token cache", "slop": 2}}},
+        {"match": {"text": {"query": "tokem", "fuzziness": 1}}},
+        {"match": {"text": ""}},
+    ):
+        options = {"text_fields": ["text", "title"]}
+        want = {r["doc_id"]: round(r["_score"], 9) for r in search(df, {"query": q, "size": 1000}, "doc_id", **options).hits.collect()}
+        got = {r["id"]: round(r["_score"], 9) for r in iq.matches(q).collect()}
+        assert got == want, q
+    top = iq.search({"match": {"text": "token cache"}}, 5).collect()
+    assert [r["doc_id"] for r in top] == [r["doc_id"] for r in search(df, {"query": {"match": {"text": "token cache"}}, "size": 5}, "doc_id").hits.collect()]
