@@ -120,12 +120,12 @@ def sequence_edges(df: DataFrame, group: str, order: str, key: str) -> DataFrame
     return df.select(F.col(key).alias("src"), F.lead(key).over(w).alias("dst")).where("dst is not null").withColumn("edge_type", F.lit("sequence"))
 
 
-def shared_terms(docs: DataFrame, key: str, text: str, share: float = 0.1, most_docs: int = 64, per_doc: int = 24, least: int = 2, edges_per_doc: int = 5, weight: float = 0.45) -> DataFrame:
+def shared_terms(docs: DataFrame, key: str, text: str, share: float = 0.1, most_docs: int = 64, per_doc: int = 24, least: int = 2, edges_per_doc: int | None = 5, weight: float = 0.45) -> DataFrame:
     """Documents that share the distinctive terms they repeat.
 
     A term joins documents if at most ``share`` of all and at most ``most_docs`` have it, so no term brings more than a fixed number
     of pairs; of a document its ``per_doc`` most repeated terms count (then the rarest), and no document has more than
-    ``edges_per_doc`` partners on either side.
+    ``edges_per_doc`` partners on either side; without that budget all pairs come out.
     """
     words = docs.select(F.col(key).alias("d"), F.explode(standard(F.col(text))).alias("t")).where(F.length("t") > 2)
     toks = words.groupBy("d", "t").agg(F.count("*").alias("n"))
@@ -134,7 +134,7 @@ def shared_terms(docs: DataFrame, key: str, text: str, share: float = 0.1, most_
     j = toks.join(df, "t")
     r = j.withColumn("r", F.row_number().over(Window.partitionBy("d").orderBy(F.desc("n"), "df", "t"))).where(F.col("r") <= per_doc).select("d", "t")
     pairs = r.alias("a").join(r.alias("b"), "t").where("a.d < b.d").groupBy(F.col("a.d").alias("src"), F.col("b.d").alias("dst")).agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
-    return _spend(pairs, edges_per_doc).withColumn("edge_type", F.lit("shared_term")).withColumn("weight", F.lit(weight))
+    return (pairs if edges_per_doc is None else _spend(pairs, edges_per_doc)).withColumn("edge_type", F.lit("shared_term")).withColumn("weight", F.lit(weight))
 
 
 def _spend(pairs: DataFrame, budget: int) -> DataFrame:

@@ -9,15 +9,13 @@ from searchloom.functions import vectors
 from searchloom.plans.search import search
 
 
+#: New notes that are compared with all stored ones at a time.
+BLOCK = 20_000
+
+
 def store(notes: DataFrame, new: DataFrame, key: str = "id", vector: str = "embedding", similarity: float = 0.95) -> DataFrame:
     """Notes and those of the new ones (a batch of some size) that are like none stored and like no earlier one kept of the batch, by key: the batch is compared in blocks with all notes, and with itself."""
-    old = notes.select(F.col(vector).alias("__o"))
-    # The batch is the stated query set; it is small next to the notes and sent to them after its size is checked.
-    from searchloom.lookup import is_small
-
-    batch = new.select(F.col(key).alias("__k"), F.col(vector).alias("__q"))
-    batch = F.broadcast(batch) if is_small(batch, 10_000) else batch
-    like = old.join(batch, vectors.cosine("__o", "__q") >= similarity).select("__k").distinct()
+    like = near_copies(notes, new, key, vector, similarity).withColumnRenamed(key, "__k")
     fresh = new.join(like, new[key] == like["__k"], "left_anti")
     one, two = (fresh.select(F.col(key).alias(k), F.col(vector).alias(v)) for k, v in (("__a", "__x"), ("__b", "__y")))
     pairs = one.join(two, (F.col("__a") < F.col("__b")) & (vectors.cosine("__x", "__y") >= similarity)).select("__a", "__b")
@@ -25,6 +23,50 @@ def store(notes: DataFrame, new: DataFrame, key: str = "id", vector: str = "embe
     return notes.unionByName(fresh.join(copies, fresh[key] == copies["__c"], "left_anti"))
 
 
+def near_copies(notes: DataFrame, new: DataFrame, key: str, vector: str, similarity: float) -> DataFrame:
+    """``key`` of the new notes that are like a stored one. The batch is the stated query set: blocks of it, of bounded size, are sent to the notes and compared as matrices."""
+    import numpy as np
+    import pandas as pd
+
+    blocks = max(1, -(-new.count() // BLOCK))
+    schema, found = new.select(key).schema, None
+
+    def units(vs) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        """By number of elements: the places of the usable vectors, and the vectors at length 1."""
+        by: dict[int, list[int]] = {}
+        for i, v in enumerate(vs):
+            if v is not None and len(v):
+                by.setdefault(len(v), []).append(i)
+        out = {}
+        for d, places in by.items():
+            x = np.array([vs[i] for i in places], dtype=np.float64)
+            norm = np.sqrt((x * x).sum(axis=1))
+            good = np.isfinite(norm) & (norm > 0)
+            out[d] = (np.array(places)[good], x[good] / norm[good][:, None])
+        return out
+
+    for i in range(blocks):
+        part = new.select(key, vector)
+        part = part if blocks == 1 else part.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == i)
+        block = part.toPandas()  # about BLOCK rows
+        keys, asked = block[key].tolist(), units(block[vector].tolist())
+        shared = notes.sparkSession.sparkContext.broadcast(asked)
+
+        def run(batches, shared=shared, keys=keys):
+            hit: dict[int, np.ndarray] = {d: np.zeros(len(p), dtype=bool) for d, (p, _) in shared.value.items()}
+            for pdf in batches:
+                for d, (_, x) in units(pdf[vector].tolist()).items():
+                    if d in shared.value and len(x):
+                        places, q = shared.value[d]
+                        for at in range(0, len(x), 1024):
+                            hit[d] |= (x[at : at + 1024] @ q.T >= similarity - 1e-12).any(axis=0)
+            yield pd.DataFrame({key: [keys[p] for d, h in hit.items() for p in shared.value[d][0][h]]})
+
+        one = notes.select(vector).mapInPandas(run, schema)
+        found = one if found is None else found.unionByName(one)
+    return found.where(F.col(key).isNotNull()).distinct()
+
+
 def _copies(pairs):
     """The notes that are like an earlier one that is kept itself, in the order of keys; gets the like pairs (__a < __b) only."""
     gone = set()

@@ -501,6 +501,11 @@ def g_memory_store(spark, sf):
     return kept.agg(F.count("*").alias("n"))
 
 
+def g_shared_pairs(spark, sf):
+    """All pairs of documents that share two of the terms they repeat most, before any budget of edges."""
+    return graph.shared_terms(table(spark, sf, "documents"), "doc_id", "text", edges_per_doc=None).select("src", "dst", "shared")
+
+
 def g_recall_vector(spark, sf):
     h = memory.recall(table(spark, sf, "embeddings"), {"knn": {"field": "embedding", "query_vector": KNN}}, 10, "vec_id")
     return h.select("vec_id", F.round("_score", 5).alias("score"))
@@ -693,6 +698,10 @@ select action, case when action = 'index' and k % 10 = 0 then 'conflict' when ac
     "g_unlink": "select edge_type, count(*) n, case when edge_type = (select min(edge_type) from graph_edges) then 0 else count(*) filter (where invalid_at is null) end alive from graph_edges group by 1",
     "g_ego": "with s as (select distinct src node from (select * from graph_edges where weight is not null order by weight desc, edge_id limit 10)), e as (select * from graph_edges where invalid_at is null and src in (select node from s)), n as (select src node from e union select dst from e) select id, 1 as hop from ai_kb where 'kb:' || id in (select node from n)",
     "g_memory_store": "select count(*) n from embeddings",
+    "g_shared_pairs": f"""with t as (select d, t, count(*) n from (select doc_id d, unnest({_W}) t from documents) where len(t) > 2 group by 1, 2), n as (select count(*) n from documents),
+f as (select t, count(*) df from t group by t having df >= 2 and df <= least(64, 0.1 * (select n from n))),
+r as (select d, t from t join f using (t) qualify row_number() over (partition by d order by t.n desc, df, t) <= 24)
+select a.d src, b.d dst, count(*) shared from r a join r b on a.t = b.t and a.d < b.d group by 1, 2 having shared >= 2""",
     "g_recall_vector": _knn_sql("(1 + list_cosine_similarity(x, q)) / 2"),
     "x_vectors": f"select vec_id, round(list_dot_product(x, q), 4) dot, round(list_sum(list_transform(list_zip(x, q), lambda p: abs(p[1] - p[2]))), 4) l1, round(list_distance(x, q), 4) l2 from (select vec_id, list_transform(embedding, lambda x: x::double) x, {_EMB} q from embeddings)",
     "x_math": "select p_partkey, upper(p_name) as upper, (len(p_name) > 10)::int as long, starts_with(p_brand, 'Brand#1') starts, round(sqrt(p_size) + 8 - 1 + greatest(1, p_size), 6) root, round(floor(p_retailprice / 7) + least(p_size, 10), 6) clip from part",
