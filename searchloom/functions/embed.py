@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -42,6 +42,48 @@ def embed(c: Column, dims: int = 256) -> Column:
     return F.pandas_udf(run, "array<float>")(c)
 
 
+def embed_with(c: Column, factory: Callable[[], Callable[[list[str]], np.ndarray]], kind: str = "array<float>") -> Column:
+    """Vectors of any model. ``factory`` is called once per worker and gives a function from a list of texts to one vector each; null texts stay null."""
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = factory()
+        for s in batches:
+            out: list = [None] * len(s)
+            there = [i for i, t in enumerate(s) if t is not None]
+            for i, v in zip(there, model([s.iloc[i] for i in there]) if there else []):
+                out[i] = [float(x) for x in v]
+            yield pd.Series(out)
+
+    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return F.pandas_udf(run, kind)(c)
+
+
+def onnx_factory(model_path: str, tokenizer_path: str, output: int = 0) -> Callable[[], Callable[[list[str]], np.ndarray]]:
+    """A factory for :func:`embed_with`: an ONNX text encoder with its tokenizer file; token vectors are averaged over the text and scaled to length 1. Both files must be where the workers can read them."""
+
+    def factory():
+        import onnxruntime
+        from tokenizers import Tokenizer
+
+        tokens = Tokenizer.from_file(tokenizer_path)
+        tokens.enable_padding()
+        session = onnxruntime.InferenceSession(model_path)
+        names = {i.name for i in session.get_inputs()}
+
+        def model(texts: list[str]) -> np.ndarray:
+            coded = tokens.encode_batch(texts)
+            mask = np.array([c.attention_mask for c in coded], dtype=np.int64)
+            given = {"input_ids": np.array([c.ids for c in coded], dtype=np.int64), "attention_mask": mask, "token_type_ids": np.zeros_like(mask)}
+            y = session.run(None, {k: v for k, v in given.items() if k in names})[output]
+            if y.ndim == 3:
+                y = (y * mask[:, :, None]).sum(axis=1) / np.maximum(mask.sum(axis=1, keepdims=True), 1)
+            return y / np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-12)
+
+        return model
+
+    return factory
+
+
 def chunk_text(text: str, size: int = 1000, overlap: int = 100) -> list[tuple[int, int, str]]:
     """(start, end, text) of chunks. A break is looked for in the last quarter: after a sentence or line, else at a blank."""
     out, at, n = [], 0, len(text)

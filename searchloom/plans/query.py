@@ -405,7 +405,7 @@ class Compiler:
 
     def q_function_score(self, b):
         base = self.compile(b.get("query", {"match_all": {}}))
-        fs = b.get("functions") or [{k: v for k, v in b.items() if k in ("field_value_factor", "script_score", "random_score", "weight")}]
+        fs = b.get("functions") or [{k: v for k, v in b.items() if k in ("field_value_factor", "script_score", "random_score", "weight", "gauss", "exp", "linear")}]
         values, applies = [], []
         for f in fs:
             cond = self.compile(f["filter"]).match if "filter" in f else F.lit(True)
@@ -452,8 +452,39 @@ class Compiler:
             p = f["random_score"] or {}
             col = self.ctx.resolve(p.get("field", self.ctx.id))[0]
             return w * F.pmod(F.xxhash64(col, F.lit(int(p.get("seed", 0)))), F.lit(1 << 24)) / float(1 << 24)
+        for kind in ("gauss", "exp", "linear"):
+            if kind in f:
+                return w * self._decay(kind, f[kind])
         return F.lit(w)
 
+    def _distance(self, name: str, origin, of: list) -> tuple[Column, list[float]]:
+        """How far a field lies from a point, moment or number, and some distances in the same unit."""
+        if name in self.ctx.geo or isinstance(self.ctx.resolve(name)[1], T.StructType):
+            lat, lon = self.ctx.lat_lon(name)
+            return geo.haversine(lat, lon, *geo.point(origin)), [geo.metres(x) if isinstance(x, str) else float(x) for x in of]
+        col, kind = self.ctx.resolve(name)
+        if isinstance(kind, T.NumericType):
+            return F.abs(col.cast("double") - float(origin)), [float(x) for x in of]
+        at = dates.resolve(origin, False, self.ctx.now)
+        path = ".".join(f"`{p}`" for p in self.ctx._path(name))
+        d = F.abs(F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'{at.isoformat(sep=' ')}', cast({path} as timestamp_ntz))")) / 1000.0
+        return d, [float(dates.interval_ms(x)) if isinstance(x, str) else float(x) for x in of]
+
+    def _decay(self, kind: str, p: dict) -> Column:
+        """1 up to ``offset`` from the origin, ``decay`` at ``scale`` beyond it; a row without a value keeps 1."""
+        name = next(k for k in p if k != "multi_value_mode")
+        spec = p[name]
+        decay = float(spec.get("decay", 0.5))
+        d, (scale, offset) = self._distance(name, spec["origin"], [spec["scale"], spec.get("offset", 0)])
+        if not 0 < decay < 1 or scale <= 0:
+            raise QueryError("decay must be between 0 and 1, and scale above 0")
+        x = F.greatest(F.lit(0.0), d - offset) / scale
+        if kind == "linear":
+            v = F.greatest(F.lit(0.0), 1 - (1 - decay) * x)
+        else:
+            v = F.pow(F.lit(decay), x * x if kind == "gauss" else x)
+        return F.coalesce(v, F.lit(1.0))
+
     def q_script_score(self, b):
         c = self.compile(b["query"])
         score = compile_script(b["script"], self.ctx.schema, c.score).cast("double")

@@ -572,6 +572,8 @@ QUERIES = {k: f for k, f in list(globals().items()) if k[:2] in ("t_", "v_", "c_
     "t_index_simple": _indexed({"simple_query_string": {"query": "+token -replica", "fields": ["text"]}}),
     "t_index_mlt": _indexed({"more_like_this": {"fields": ["text"], "like": ["large index", "snapshot job"]}}),
     "t_index_bool": _indexed({"bool": {"must": [{"match_phrase": {"text": "the token cache"}}], "should": [{"match": {"text": "replica"}}], "filter": [{"range": {"n_chars": {"gte": 100}}}]}}),
+    "s_decay": _hits("part", "p_partkey", {"query": {"function_score": {"gauss": {"p_retailprice": {"origin": 1200, "scale": 100, "offset": 20}}, "boost_mode": "replace"}}, "size": 40}, []),
+    "s_decay_date": _hits("orders", "o_orderkey", {"query": {"function_score": {"query": {"term": {"o_orderstatus": "F"}}, "functions": [{"exp": {"o_orderdate": {"origin": "1995-06-01", "scale": "30d"}}}], "boost_mode": "replace"}}, "size": 40}, []),
     "q_type": _where("region", "r_regionkey", {"type": {"value": "_doc"}}),
     "q_intersect": _where("part", "p_partkey", {"bool": {"must": [{"range": {"p_size": {"gte": 10}}}, {"prefix": {"p_brand": "Brand#2"}}], "must_not": [{"range": {"p_size": {"gte": 30}}}]}}),
     "t_combined_fields": _where("ai_kb", "id", {"combined_fields": {"query": "question small", "fields": ["title", "content"], "operator": "and"}}),
@@ -664,6 +666,8 @@ r as (select o_custkey, o_orderkey, o_totalprice price, row_number() over (parti
 select round(any_value(mn), 4) as min, round(any_value(a), 4) q1, round(any_value(b), 4) q2, round(any_value(c), 4) q3, round(any_value(mx), 4) as max, round(min(l_extendedprice), 4) as lower, round(max(l_extendedprice), 4) as upper
 from lineitem, q where l_extendedprice between a - 1.5 * (c - a) and c + 1.5 * (c - a)""",
     "b_percentiles": 'with m as (select l_returnflag k, median(l_quantity) m from lineitem group by 1) select l_returnflag k, count(*) doc_count, round(quantile_cont(l_extendedprice, 0.1), 4) as p_10, round(quantile_cont(l_extendedprice, 0.5), 4) as p_50, round(median(abs(l_quantity - m)), 4) d from lineitem join m on l_returnflag = k group by 1',
+    "s_decay": "select p_partkey, round(pow(0.5, pow(greatest(0, abs(p_retailprice - 1200) - 20) / 100, 2)), 6) score from part order by pow(0.5, pow(greatest(0, abs(p_retailprice - 1200) - 20) / 100, 2)) desc, p_partkey limit 40",
+    "s_decay_date": "select o_orderkey, round(pow(0.5, d), 6) score from (select o_orderkey, abs(epoch_us(o_orderdate::timestamp) - epoch_us(timestamp '1995-06-01')) / 1000 / (30 * 86400000.0) d from orders where o_orderstatus = 'F') order by d, o_orderkey limit 40",
     "q_type": "select r_regionkey from region",
     "q_intersect": "select p_partkey from part where p_size >= 10 and p_size < 30 and starts_with(p_brand, 'Brand#2')",
     "t_combined_fields": f"select id from (select id, list_concat(coalesce({tok('title')}, []), coalesce({tok('content')}, [])) w from ai_kb) where list_contains(w, 'question') and list_contains(w, 'small')",

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from searchloom import catalog, scratch
 from searchloom.functions import polytope
+from searchloom.functions.embed import embed_with
 from searchloom.operators import transforms
 from searchloom.operators.aggs import _ip_key, run_aggs
 from searchloom.operators.quantiles import exact_quantiles
@@ -245,3 +246,26 @@ def test_indexed_queries_equal_the_scan(spark):
         assert got == want, q
     top = iq.search({"match": {"text": "token cache"}}, 5).collect()
     assert [r["doc_id"] for r in top] == [r["doc_id"] for r in search(df, {"query": {"match": {"text": "token cache"}}, "size": 5}, "doc_id").hits.collect()]
+
+
+def test_decay_functions(spark):
+    df = spark.createDataFrame([(1, 10.0, datetime(2024, 1, 1), (0.0, 0.0)), (2, 20.0, datetime(2024, 1, 8), (1.0, 0.0)), (3, None, None, None)], "_id int, v double, t timestamp_ntz, loc struct<lat:double,lon:double>")
+
+    def scores(**f):
+        body = {"query": {"function_score": f | {"boost_mode": "replace"}}}
+        return {r["_id"]: round(r["_score"], 6) for r in search(df, body).hits.collect()}
+
+    assert scores(linear={"v": {"origin": 10, "scale": 10}}) == {1: 1.0, 2: 0.5, 3: 1.0}
+    assert scores(gauss={"v": {"origin": 10, "scale": 5, "decay": 0.5}}) == {1: 1.0, 2: 0.0625, 3: 1.0}
+    assert scores(exp={"t": {"origin": "2024-01-01", "scale": "7d", "decay": 0.25}}) == {1: 1.0, 2: 0.25, 3: 1.0}
+    assert scores(exp={"loc": {"origin": {"lat": 0, "lon": 0}, "scale": "111.19km", "offset": "111.19km"}})[2] > 0.99
+    with pytest.raises(QueryError):
+        scores(exp={"v": {"origin": 1, "scale": 0}})
+
+
+def test_any_model_embeds(spark):
+    def factory():
+        return lambda texts: np.array([[len(t), t.count("a")] for t in texts], dtype=float)
+
+    df = spark.createDataFrame([(1, "banana"), (2, None), (3, "")], "_id int, t string").select("_id", embed_with(F.col("t"), factory).alias("v"))
+    assert {r["_id"]: r["v"] for r in df.collect()} == {1: [6.0, 3.0], 2: None, 3: [0.0, 0.0]}
