@@ -146,11 +146,20 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
+def encoder_of(data: bytes) -> Encoder:
+    """The encoder of a rank file's content; made once per worker."""
+    pairs = (line.split() for line in data.splitlines() if line.strip())
+    return Encoder({base64.b64decode(a): int(b) for a, b in pairs})
+
+
 def load_encoder(path: str) -> Encoder:
-    """The encoder of a rank file; a worker reads the file once."""
+    """The encoder of a rank file."""
+    return encoder_of(_content(path))
+
+
+def _content(path: str) -> bytes:
     with open(path, "rb") as f:
-        pairs = (line.split() for line in f if line.strip())
-        return Encoder({base64.b64decode(a): int(b) for a, b in pairs})
+        return f.read()
 
 
 def _out_schema(df: DataFrame, keys: list[str], name: str, kind: T.DataType) -> T.StructType:
@@ -161,9 +170,10 @@ def encode_table(df: DataFrame, text: str = "text", keys: list[str] | None = Non
     """The key columns and ``out``, the token ids of the text. One pass over the rows, no shuffle."""
     keys = keys or ["doc_id"]
     n_keys = len(keys)
+    ranks = df.sparkSession.sparkContext.broadcast(_content(ranks_path))  # only the driver needs the file, of about a megabyte
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = load_encoder(ranks_path)
+        enc = encoder_of(ranks.value)
         for b in batches:
             flat: list[int] = []
             ends = [0]
@@ -180,9 +190,10 @@ def count_tokens(df: DataFrame, text: str = "text", keys: list[str] | None = Non
     """The key columns and ``out``, the number of tokens of the text; 0 for null and empty texts."""
     keys = keys or ["doc_id"]
     n_keys = len(keys)
+    ranks = df.sparkSession.sparkContext.broadcast(_content(ranks_path))  # only the driver needs the file, of about a megabyte
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = load_encoder(ranks_path)
+        enc = encoder_of(ranks.value)
         for b in batches:
             sizes = pa.array([len(enc.encode(t)) for t in b.column(n_keys).to_pylist()], pa.int32())
             yield pa.RecordBatch.from_arrays([*b.columns[:n_keys], sizes], names=[*keys, out])
