@@ -210,6 +210,35 @@ def with_metrics(level: Level, subs: dict) -> DataFrame:
     return out
 
 
+#: Aggregations whose buckets a request names, so that rows fall into few combinations of them; metrics whose parts can be added up.
+NAMED = ("filters", "adjacency_matrix", "range", "date_range", "ip_range", "geo_distance")
+ADDED = ("sum", "min", "max", "avg", "value_count", "stats")
+
+
+def _by_combination(level: Level, name: str, key: Column, subs: dict) -> DataFrame | None:
+    """The buckets of an array key: rows are summed up per combination of keys first, and only these sums are repeated for each key.
+
+    None if a metric can't be put together from parts.
+    """
+    metrics = {n: s for n, s in subs.items() if _kind(s) in METRICS and _kind(s) != "top_hits" or _kind(s) in ("filter", "missing") and not _subs(s)}
+    if any(_kind(s) not in ADDED for s in metrics.values()):
+        return None
+    parts, whole = [metric_columns(level, "__n", "doc_count", {})[0]], [F.sum("__n").alias("doc_count")]
+    for i, (n, spec) in enumerate(metrics.items()):
+        kind = _kind(spec)
+        if kind == "value_count":
+            parts += metric_columns(level, f"__c{i}", kind, spec[kind])
+            whole.append(F.sum(f"__c{i}").alias(n))
+            continue
+        v = _number(level, spec[kind])
+        parts += [F.sum(v).alias(f"__s{i}"), F.count(v).alias(f"__c{i}"), F.min(v).alias(f"__a{i}"), F.max(v).alias(f"__b{i}")]
+        mean = F.when(F.sum(f"__c{i}") > 0, F.sum(f"__s{i}") / F.sum(f"__c{i}"))
+        made = {"sum": F.coalesce(F.sum(f"__s{i}"), F.lit(0.0)), "min": F.min(f"__a{i}"), "max": F.max(f"__b{i}"), "avg": mean, "count": F.sum(f"__c{i}")}
+        whole += [made[k].alias(f"{n}_{k}") for k in ("count", "min", "max", "avg", "sum")] if kind == "stats" else [made[kind].alias(n)]
+    sums = level.df.withColumn("__keys", key).where(F.size("__keys") > 0).groupBy(*level.keys, "__keys").agg(*parts)
+    return sums.withColumn(name, F.explode("__keys")).groupBy(*level.keys, name).agg(*whole)
+
+
 def _query_options(level: Level) -> dict:
     return {k: v for k, v in level.options.items() if k in ("now", "analyzers", "text_fields", "geo")}
 
@@ -549,16 +578,16 @@ def _bucket(level: Level, name: str, kind: str, p: dict, subs: dict, here: str,
                     c = F.col(f"`{name}`")
                     m = c.isin(p[how]) if isinstance(p[how], list) else c.cast("string").rlike(f"^(?:{p[how]})$")
                     inner.df = inner.df.where(m if yes else ~m)
-        out[here] = _finish(inner, name, kind, p, subs)
+        out[here] = _finish(inner, name, kind, p, subs, _by_combination(level, name, key, subs) if kind in NAMED else None)
         _children(inner, out[here], subs, here, out)
         return
     out[here] = pipelines.parents(with_metrics(inner, subs), subs, inner.keys)
     _walk_children(inner, subs, here, out)
 
 
-def _finish(inner: Level, name: str, kind: str, p: dict, subs: dict) -> DataFrame:
+def _finish(inner: Level, name: str, kind: str, p: dict, subs: dict, table: DataFrame | None = None) -> DataFrame:
     """The buckets of a keyed aggregation after gap filling, ordering, cutting and pipelines."""
-    table = with_metrics(inner, subs)
+    table = with_metrics(inner, subs) if table is None else table
     parents = inner.keys[:-1]
     if kind in ("terms", "multi_terms", "geohash_grid", "geotile_grid"):
         size = int(p.get("size", 10 if "terms" in kind else 10_000))
