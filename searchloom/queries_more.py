@@ -304,6 +304,13 @@ def d_convert(spark, sf):
     return out.select("o_orderkey", F.round("price", 2).alias("price"), F.col("bad").isNull().alias("bad"), F.size("parts").alias("parts"))
 
 
+def d_on_failure(spark, sf):
+    """Keys that are no number are marked by the handler of the failed conversion; small ones aren't asked."""
+    c = table(spark, sf, "customer").select("c_custkey", F.when(F.col("c_custkey") % 3 == 0, "x").otherwise(F.col("c_custkey").cast("string")).alias("k"), F.lit("ok").alias("state"))
+    steps = [{"convert": {"field": "k", "type": "integer", "target_field": "n", "if": "doc['c_custkey'].value >= 10", "on_failure": [{"set": {"field": "state", "value": "failed"}}]}}]
+    return ingest.simulate(c, steps)[-1].select("c_custkey", F.col("n").cast("bigint").alias("n"), "state")
+
+
 def d_enrich_policy(spark, sf):
     """A policy built from a table, executed to a lookup, and used by name."""
     p = ingest.EnrichPolicy(table(spark, sf, "nation"), "n_nationkey", ["n_name"]).execute(spark)
@@ -675,6 +682,7 @@ from lineitem, q where l_extendedprice between a - 1.5 * (c - a) and c + 1.5 * (
     "t_span_or": f"select doc_id from documents where list_contains({_W}, 'token') or list_contains({_W}, 'replica')",
     "d_parse_time": "select event_id, true same from events",
     "d_convert": "select o_orderkey, round(o_totalprice, 2) price, true bad, len(string_split(o_orderpriority, '-'))::int parts from orders",
+    "d_on_failure": "select c_custkey, case when c_custkey >= 10 and c_custkey % 3 <> 0 then c_custkey end n, case when c_custkey >= 10 and c_custkey % 3 = 0 then 'failed' else 'ok' end state from customer",
     "d_enrich_policy": "select n_name, count(*) n from customer left join nation on c_nationkey = n_nationkey group by 1",
     "d_time_field": "select * from (values ('events', 'ts'), ('region', null)) t(name, field)",
     "d_cluster_schemas": "select * from (values (0, 'events,events2'), (1, 'nation'), (2, 'region')) t(cluster, names)",

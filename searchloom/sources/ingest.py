@@ -114,34 +114,58 @@ def _processor(kind: str, p: dict) -> Callable[[DataFrame], DataFrame]:
     }[kind]
 
 
-def run_pipeline(df: DataFrame, processors: list[dict]) -> DataFrame:
-    """Processors in order. ``if`` is a script; where it isn't true the processor leaves the row as it was."""
+#: Processors that fail on a value they can't take; the result is null then.
+FAILING = ("convert", "json_parse", "timestamp_parse", "url_decode")
+
+
+def _only(df: DataFrame, cond: Column, f: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``f`` applied to the rows where ``cond`` is true; the others stay as they were."""
+    marked = df.withColumns({f"__old_{c}": F.col(f"`{c}`") for c in df.columns}).withColumn("__yes", F.coalesce(cond, F.lit(False)))
+    new = f(marked)
+    cols = [F.when(F.col("__yes"), F.col(f"`{c}`")).otherwise(F.col(f"`__old_{c}`") if c in df.columns else F.lit(None)).alias(c) for c in new.columns if not c.startswith("__")]
+    return new.select(*cols)
+
+
+def _step(df: DataFrame, step: dict) -> DataFrame:
     from searchloom.functions.script import compile_script
 
+    (kind, p), = step.items()
+    p = dict(p)
+    cond, handlers = p.pop("if", None), p.pop("on_failure", None)
+    f = _processor(kind, p)
+    yes = None if cond is None else F.coalesce(compile_script(cond, df.schema), F.lit(False))
+    if kind == "drop" and yes is not None:
+        return df.where(~yes)
+    if not handlers:
+        return f(df) if yes is None else _only(df, yes, f)
+    if kind not in FAILING:
+        raise ValueError(f"{kind} doesn't fail")
+    field, to = p["field"], p.get("target_field", p["field"])
+    # The value and the condition are kept beside the row, as the processor may replace what they come from.
+    kept = df.withColumn("_given", F.col(f"`{field}`")).withColumn("_asked", F.lit(True) if yes is None else yes)
+    new = _only(kept, F.col("_asked"), f) if yes is not None else f(kept)
+    new = new.withColumn("_failed", F.col("_asked") & F.col("_given").isNotNull() & F.col(f"`{to}`").isNull()).drop("_given", "_asked")
+    return _only(new, F.col("_failed"), lambda d: run_pipeline(d, handlers)).drop("_failed")
+
+
+def run_pipeline(df: DataFrame, processors: list[dict]) -> DataFrame:
+    """Processors in order. ``if`` is a script; where it isn't true the processor leaves the row as it was. ``on_failure`` has
+    processors for the rows whose value a processor (of the kinds in ``FAILING``) couldn't take.
+    """
     for step in processors:
-        (kind, p), = step.items()
-        p = dict(p)
-        cond = p.pop("if", None)
-        f = _processor(kind, p)
-        if cond is None:
-            df = f(df)
-            continue
-        yes = F.coalesce(compile_script(cond, df.schema), F.lit(False))
-        if kind == "drop":
-            df = df.where(~yes)
-            continue
-        new = f(df)
-        keep = {}
-        for c in new.columns:
-            old = F.col(f"`{c}`") if c in df.columns else F.lit(None)
-            keep[c] = (old, c)
-        marked = df.withColumns({f"__old_{c}": F.col(f"`{c}`") for c in df.columns}).withColumn("__yes", yes)
-        new = f(marked)
-        cols = [F.when(F.col("__yes"), F.col(f"`{c}`")).otherwise(F.col(f"`__old_{c}`") if c in df.columns else F.lit(None)).alias(c) for c in new.columns if not c.startswith("__")]
-        df = new.select(*cols)
+        df = _step(df, step)
     return df
 
 
+def simulate(df: DataFrame, processors: list[dict]) -> list[DataFrame]:
+    """The rows after each processor."""
+    out = []
+    for step in processors:
+        df = _step(df, step)
+        out.append(df)
+    return out
+
+
 def bulk_apply(table: DataFrame, actions: DataFrame, key: str, seq: str = "seq_no", action: str = "action") -> DataFrame:
     """A table after index, create, update and delete actions, the latest of each key in force.
 
