@@ -42,9 +42,11 @@ def relevance(df: DataFrame, fields: list[str], key: str = "id", k1: float = 1.2
         bounds &= F.col("df") <= max_df
     pairs = records.select("__key", "dl", F.explode(F.filter("terms", lambda t: t.tf >= min_tf) if min_tf > 1 else F.col("terms")).alias("__t"))
     pairs = pairs.select("__key", "dl", F.col("__t.term").alias("term"), F.col("__t.tf").cast("bigint").alias("tf"))
-    joined = pairs.join(dfs.where(bounds & (F.col("df") <= cut)), "term")
-    if max_df is None or max_df > cut:
-        joined = lookup_join(pairs, dfs.where(bounds & (F.col("df") > cut)), ["term"]).select(joined.columns).unionByName(joined)
+    both = max_df is None or max_df > cut
+    dfs = materialize(dfs.where(bounds), "relevance-df") if both else dfs.where(bounds)  # read for the rare terms and for the frequent ones
+    joined = pairs.join(dfs.where(F.col("df") <= cut), "term")
+    if both:
+        joined = lookup_join(pairs, dfs.where(F.col("df") > cut), ["term"]).select(joined.columns).unionByName(joined)
     idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     sat = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))
     scored = joined.select(F.col("__key").alias(key), "term", "tf", "df", (idf * sat).alias("score"))
