@@ -201,7 +201,7 @@ def _search(index: DataFrame, n: int, dim: int, kind: str, k: int, floor: float,
         for t in _runs(batches):
             g, ids = np.asarray(_column(t, "g")), _column(t, "ids")
             p = _bytes(_column(t, "p"), packed, 1)[:, 0]
-            x = unit(np.ascontiguousarray(p["x"]))
+            x, copied = unit(np.ascontiguousarray(p["x"])), np.asarray(ids.is_valid())
             ends = np.flatnonzero(np.append(g[1:] != g[:-1], True)) + 1
             out = []
             for a, b in zip([0, *ends[:-1]], ends):
@@ -213,8 +213,9 @@ def _search(index: DataFrame, n: int, dim: int, kind: str, k: int, floor: float,
                 if len(short) and len(data) > 2 * bucket:
                     q, d, s = within_cell(x[data], p["v"][data], x[short], p["v"][short], k, np.full(len(short), max(floor, -1.5)), 8, bucket, int(g[a]) & 0xFFFF)
                     out.append((short[q], data[d], s))
-                # A direction's own copies are its neighbours too; every query brings them along.
-                out.append((query, query, np.ones(len(query))))
+                # A direction's own copies are its neighbours too; a query that has some brings them along.
+                several = query[copied[query]]
+                out.append((several, several, np.ones(len(several))))
             q, d, s = (np.concatenate(c) for c in zip(*out))
             d, near, times = _expand(ids, p["v"], d)
             yield _lists(np.repeat(p["v"][q], times), near, np.repeat(s, times), {int(p["v"][i]): ids[int(i)] for i in np.unique(q) if ids[int(i)].is_valid} if ids.null_count < len(ids) else {}, k + 1)
