@@ -1,6 +1,6 @@
-"""Exact percentiles by rank, without holding a group's values in one place.
+"""Exact percentiles by rank, without holding a large group's values in one place.
 
-Values are counted, and the counts are laid out in ranges of (group, value). A sum per range tells in which range each
+Where no group has more than ``BUFFER`` different values, about, each group's counts are held in one buffer. Else values are counted, and the counts are laid out in ranges of (group, value). A sum per range tells in which range each
 wanted rank lies; only those ranges are looked into, and a window sorts the distinct values of one range at most. So a
 group of any size is spread over many tasks, and the result is exact.
 """
@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from searchloom.scratch import materialize
 
+#: Different values of a group that one aggregation buffer may hold.
+BUFFER = 500_000
+
 
 def same_keys(a: DataFrame, b: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
     """Join on keys that may be null; the keys come out once. ``b`` has one row per key, or one in all without keys."""
@@ -29,7 +32,11 @@ def exact_quantiles(values: DataFrame, keys: list[str], shares: list[float]) ->
 
     ``values`` has ``keys``, ``__v`` (null is left out) and ``__n``, how often the value occurs. A group without values gives no row.
     """
-    counts = values.where("__v is not null").groupBy(*keys, "__v").agg(F.sum("__n").alias("__n"))
+    values = values.where("__v is not null")
+    most = values.groupBy(*keys).agg(F.approx_count_distinct("__v").alias("__d")).agg(F.max("__d")).first()[0] or 0
+    if most <= BUFFER:
+        return values.groupBy(*keys).agg(F.percentile("__v", F.array(*[F.lit(float(q)) for q in shares]), F.col("__n")).alias("__q"))
+    counts = values.groupBy(*keys, "__v").agg(F.sum("__n").alias("__n"))
     ranges = counts.repartitionByRange(*keys, "__v").withColumn("__part", F.spark_partition_id())
     ranges = materialize(ranges, "quantiles")  # ranges are drawn from a sample, so they are drawn once
     w = Window.partitionBy(*keys)  # one row per range

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from searchloom import catalog, scratch
 from searchloom.functions import polytope
 from searchloom.functions.embed import embed_with
-from searchloom.operators import transforms
+from searchloom.operators import quantiles, transforms
 from searchloom.operators.aggs import _ip_key, run_aggs
 from searchloom.operators.quantiles import exact_quantiles
 from searchloom.operators.textindex import TextIndex
@@ -23,7 +23,9 @@ from searchloom.plans.search import search
 from searchloom.sources import ingest, readers
 
 
-def test_quantiles_equal_brute_force(spark):
+@pytest.mark.parametrize("buffer", [500_000, -1])
+def test_quantiles_equal_brute_force(spark, monkeypatch, buffer):
+    monkeypatch.setattr(quantiles, "BUFFER", buffer)
     rng = random.Random(1)
     rows = [(rng.choice(["a", "b", None]), rng.choice([None, float(rng.randrange(-40, 40)), rng.random()])) for _ in range(3000)] + [("one", 5.0), ("none", None)]
     df = spark.createDataFrame(rows, "k string, __v double").withColumn("__n", F.lit(1).cast("bigint"))
@@ -38,7 +40,9 @@ def test_quantiles_equal_brute_force(spark):
     assert abs(whole - np.quantile([x for _, x in rows if x is not None], 0.5)) < 1e-12
 
 
-def test_rank_metrics_of_buckets_without_values(spark):
+@pytest.mark.parametrize("buffer", [500_000, -1])
+def test_rank_metrics_of_buckets_without_values(spark, monkeypatch, buffer):
+    monkeypatch.setattr(quantiles, "BUFFER", buffer)
     df = spark.createDataFrame([(1, "a", 1.0), (2, "a", 9.0), (3, "b", None)], "_id int, k string, v double")
     subs = {"p": {"percentiles": {"field": "v", "percents": [50]}}, "m": {"median_absolute_deviation": {"field": "v"}}, "b": {"boxplot": {"field": "v", "whiskers": True}}}
     out = {r["k"]: r for r in run_aggs(df, {"k": {"terms": {"field": "k"}, "aggs": subs}})["k"].collect()}
