@@ -20,7 +20,9 @@ def lookup_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "i
     """Join ``big`` with ``small`` (unique ``keys``), safe when one key holds a large share of ``big``.
 
     The lookup is counted first. Up to ``rows`` rows it is broadcast and ``big`` isn't shuffled. Beyond that the
-    rows of each key are spread over ``SALT`` parts and the lookup is repeated once per part. A null key matches nothing.
+    rows of each key are spread over ``SALT`` parts and the lookup is repeated once per part. Spark's estimate of sizes
+    leaves that repetition out, so the join is told to sort: else a lookup under ``spark.sql.autoBroadcastJoinThreshold``
+    would be sent to the driver ``SALT`` times as large. A null key matches nothing.
     """
     if how not in ("inner", "left"):
         raise ValueError(f"lookup_join does inner and left joins, not {how}")
@@ -28,4 +30,4 @@ def lookup_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "i
         return big.join(F.broadcast(small), keys, how)
     salted = big.withColumn("__salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in big.columns]), F.lit(SALT)))
     spread = small.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALT - 1).cast("bigint"))))
-    return salted.join(spread, [*keys, "__salt"], how).drop("__salt")
+    return salted.join(spread.hint("merge"), [*keys, "__salt"], how).drop("__salt")

@@ -202,3 +202,15 @@ def test_lookup_join_both_ways(spark, limit):
     small = spark.createDataFrame([("hot", 1), ("cold", 2)], "k string, v int")
     assert lookup_join(big, small, ["k"], "left", limit).where("v = 1").count() == sum(i % 3 > 0 for i in range(50))
     assert lookup_join(big, small, ["k"], "left", limit).count() == 50
+
+
+def test_lookup_join_never_broadcasts_the_repeated_lookup(spark):
+    big = spark.range(2000).select("id", (F.col("id") % 300).alias("k"))
+    small = spark.range(100, 400).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v")).dropDuplicates(["k"])
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == "10485760b"  # far above either side
+    for how, rows in (("left", 2000), ("inner", sum(i % 300 >= 100 for i in range(2000)))):
+        out = lookup_join(big, small, ["k"], how, 299)
+        got = out.collect()
+        assert len(got) == rows and all(r["v"] == (2 * r["k"] if r["k"] >= 100 else None) for r in got)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
