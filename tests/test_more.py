@@ -224,6 +224,38 @@ def test_files_of_several_formats(spark, tmp_path):
         readers.read_any(spark, str(tmp_path / "none"))
 
 
+def test_csv_files_of_a_header_alone(spark, tmp_path):
+    """Spark's first task writes the header even if it has no rows."""
+    rows = spark.range(0, 8, 1, 4).select("id", F.concat(F.lit("n "), "id").alias("name"), (F.col("id") + 0.5).alias("v"))
+    kept = rows.where("id >= 2")
+    kept.write.csv(str(tmp_path / "t"), header=True, sep=";")
+    assert sorted(len(p.read_text().splitlines()) for p in (tmp_path / "t").glob("part-*")) == [1, 3, 3, 3]
+    got = readers.read_any(spark, str(tmp_path / "t"))
+    assert dict(got.dtypes) == {"id": "int", "name": "string", "v": "double"} and sorted(map(tuple, got.collect())) == sorted(map(tuple, kept.collect()))
+    got = readers.read_folder(spark, str(tmp_path / "t"))
+    assert set(got) == {"csv"} and dict(got["csv"].dtypes) == {"id": "int", "name": "string", "v": "double"} and got["csv"].count() == 6
+    rows.where("id < 0").write.csv(str(tmp_path / "none"), header=True, sep=";")
+    none = readers.read_any(spark, str(tmp_path / "none"))
+    assert none.columns == ["id", "name", "v"] and none.count() == 0 and readers.read_folder(spark, str(tmp_path / "none"))["csv"].count() == 0
+
+
+def test_csv_files_of_one_row(spark, tmp_path):
+    for i, text in enumerate(("1;a\n2;b\n", "3;c\n", "4;\"d;e\"\n")):
+        (tmp_path / f"part-{i}").write_text(text)
+    assert sorted(map(tuple, readers.read_any(spark, str(tmp_path)).collect())) == [(1, "a"), (2, "b"), (3, "c"), (4, "d;e")]
+    assert readers.read_folder(spark, str(tmp_path))["csv"].count() == 4
+    (tmp_path / "part-1").write_text("k;v\n5;x\n")
+    (tmp_path / "part-0").write_text("k;v\n1;a\n")
+    with pytest.raises(ValueError, match="csv.*lines"):  # a row that would be taken for a header
+        readers.read_any(spark, str(tmp_path))
+
+
+def test_csv_dialect_is_that_of_the_file_with_rows(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes(b"k;v\n")
+    (tmp_path / "b.csv").write_bytes(b"k;v\na;1,5\nb;2,25\n")
+    assert sorted(map(tuple, readers.read_any(spark, str(tmp_path)).collect())) == [("a", 1.5), ("b", 2.25)]
+
+
 def test_indexed_queries_equal_the_scan(spark):
     rng = random.Random(7)
     words = "token cache replica index vector job queue the of".split()
